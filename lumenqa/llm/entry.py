@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import sharding, url_filter
+from lumenqa.llm import sharding, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,15 @@ def op3_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(url_filter.captures_of(pages), url_filter.listed_history(pages)).drop("url")
 
 
+def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=20)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op3_temporal_url_filter": op3_temporal_url_filter,
+    "op10_countmin_substring_dedup": op10_countmin_substring_dedup,
 }
 
 ORACLE_SQL = {"op3_temporal_url_filter": url_filter.ORACLE}

@@ -8,7 +8,9 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,11 @@ class Workspace:
         return df
 
 
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with further columns, each named with its type."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items())).fields])
+
+
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
