@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import sharding, substring_dedup, url_filter
+from lumenqa.llm import ngram_join, sharding, substring_dedup, url_filter
+from lumenqa.llm.workspace import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op3_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(url_filter.captures_of(pages), url_filter.listed_history(pages)).drop("url")
 
 
+def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
+    return work.tie(ngram_join.near_duplicates(table(spark, sf_dir, "documents"), work, threshold=0.8).drop("kept"))
+
+
 def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=20)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -30,6 +36,7 @@ def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op3_temporal_url_filter": op3_temporal_url_filter,
+    "op9_bayes_ngram_join": op9_bayes_ngram_join,
     "op10_countmin_substring_dedup": op10_countmin_substring_dedup,
 }
 
