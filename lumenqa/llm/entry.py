@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import ngram_join, sharding, substring_dedup, url_filter
+from lumenqa.llm import decontamination, ngram_join, sharding, substring_dedup, url_filter
 from lumenqa.llm.workspace import Workspace
 
 
@@ -23,6 +23,10 @@ def op3_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(url_filter.captures_of(pages), url_filter.listed_history(pages)).drop("url")
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     return work.tie(ngram_join.near_duplicates(table(spark, sf_dir, "documents"), work, threshold=0.8).drop("kept"))
@@ -36,6 +40,7 @@ def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op3_temporal_url_filter": op3_temporal_url_filter,
+    "op6_template_decontamination": op6_template_decontamination,
     "op9_bayes_ngram_join": op9_bayes_ngram_join,
     "op10_countmin_substring_dedup": op10_countmin_substring_dedup,
 }

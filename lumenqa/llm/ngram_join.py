@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from lumenqa.llm import bitset
 from lumenqa.llm import words as W
 from lumenqa.llm.components import connected_components
+from lumenqa.llm.rowkeys import NO_ID, keys_of, row_key, rows_hit
 from lumenqa.llm.workspace import Workspace, extended, text_bytes, text_slices
 
 SHINGLE, VALUES, BANDS, BAND_ROWS = 5, 128, 24, 4
 STEPS = (16, 32, 64, 128)
 BUCKET_BLOCK, GROUP_BLOCK = 512, 192
 PAIRS = 400_000
-NO_ID = (1 << 63) - 1
 U = np.uint64
 
 
@@ -77,17 +77,6 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def keys_of(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id with nulls last, hash of the whole text): equal for repeated rows alone."""
-    d = np.asarray(pa.compute.fill_null(part.column("doc_id").cast(pa.int64()), NO_ID))
-    key = W.mix(W.stretch_hashes(data.astype(U) + U(1), offsets[:-1], offsets[1:], W.WINDOW_BASES[1]) + np.diff(offsets).astype(U))
-    return d, (key >> U(1)).astype(np.int64)
-
-
-def row_key(d: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return (W.mix(d.astype(U) * U(0x9E3779B97F4A7C15) ^ k.astype(U)) >> U(1)).astype(np.int64)
-
-
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
@@ -268,21 +257,6 @@ def verify_groups(threshold: float):
     return run
 
 
-def rows_hit(bits, columns: list[str], keep: bool):
-    """Rows whose key the bit table has (keep) or has not; with d and k appended where kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                d, k = keys_of(part, *text_bytes(part.column("text")))
-                hit = bitset.hits(table, row_key(d, k))
-                whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(d), pa.array(k)], names=[*part.schema.names, "_d", "_k"])
-                yield whole.filter(pa.array(hit if keep else ~hit)).select(columns)
-
-    return run
-
-
 def similarity_classes(docs: DataFrame, work: Workspace, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """(d, k, key, class_id, n_links, kept) of every row of ``docs`` (doc_id, text); see near_duplicates."""
     spark = docs.sparkSession
@@ -300,11 +274,11 @@ def similarity_classes(docs: DataFrame, work: Workspace, threshold: float = 0.8,
     groups = connected_components(proposed)
 
     sized = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    chosen = groups.join(sized, "label").join(classes, "node").select("node", F.col("label").alias("cc"), "m", "copies", F.col("rep.d").alias("_d"), F.col("rep.k").alias("_k"), F.col("rep.key").alias("key")).checkpoint()
+    chosen = groups.join(sized, "label").join(classes, "node").select("node", F.col("label").alias("cc"), "m", "copies", F.col("rep.d").alias("__d"), F.col("rep.k").alias("__k"), F.col("rep.key").alias("key")).checkpoint()
     bits = spark.sparkContext.broadcast(bitset.build(chosen, chosen.count()))
-    texts = slim.mapInArrow(rows_hit(bits, ["_d", "_k", "text"], True), "_d long, _k long, text string")
+    texts = slim.mapInArrow(rows_hit(bits, ["__d", "__k", "text"], True), "__d long, __k long, text string")
     sets = (
-        texts.join(chosen.drop("key"), ["_d", "_k"])
+        texts.join(chosen.drop("key"), ["__d", "__k"])
         .select("cc", "node", "m", "copies", "text")
         .mapInArrow(shingled, "cc long, node long, m long, copies long, shingles binary")
         .dropDuplicates(["node"])
@@ -347,11 +321,11 @@ def one_of_each(docs: DataFrame, work: Workspace, threshold: float = 0.8, tolera
     bits = spark.sparkContext.broadcast(bitset.build(often, often.count()))
     typed = docs.withColumn("text", F.col("text").cast("string"))
     rest = typed.mapInArrow(rows_hit(bits, columns, False), typed.schema)
-    hit = typed.mapInArrow(rows_hit(bits, [*columns, "_d", "_k"], True), extended(typed, _d="long", _k="long"))
-    gone = often.where("not kept").select(F.col("d").alias("_d"), F.col("k").alias("_k"))
+    hit = typed.mapInArrow(rows_hit(bits, [*columns, "__d", "__k"], True), extended(typed, __d="long", __k="long"))
+    gone = often.where("not kept").select(F.col("d").alias("__d"), F.col("k").alias("__k"))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = hit.join(gone, ["_d", "_k"], "left_anti")
-    some = left.where(~wordless).dropDuplicates(["_d", "_k"]).unionByName(left.where(wordless))
+    left = hit.join(gone, ["__d", "__k"], "left_anti")
+    some = left.where(~wordless).dropDuplicates(["__d", "__k"]).unionByName(left.where(wordless))
     return rest.unionByName(some.select(columns))
 
 

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenqa.llm import words as W
+from lumenqa.llm.rowkeys import keys_of
 from lumenqa.llm.workspace import extended, text_bytes, text_slices
 
 GRAM = 8
 ROWS = 2
 BLOCK = 1 << 16
 U = np.uint64
-NO_ID = (1 << 63) - 1
 
 
 def anchored(found: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,16 +138,6 @@ def estimated_repeated(found: W.Words, size: int, bits: np.ndarray) -> np.ndarra
     return places[hit]
 
 
-def ids_of(part: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(pa.compute.fill_null(part.column("doc_id").cast(pa.int64()), NO_ID))
-
-
-def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of each whole text."""
-    key = W.mix(W.stretch_hashes(data.astype(U) + U(1), offsets[:-1], offsets[1:], W.WINDOW_BASES[1]) + np.diff(offsets).astype(U))
-    return (key >> U(1)).astype(np.int64)
-
-
 def candidate_windows(size: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
@@ -162,7 +152,7 @@ def candidate_windows(size: int, sketch):
                 h = [W.window_hashes(found.hashes, at, size, base).view(np.int64) for base in W.WINDOW_BASES]
                 place = (at - found.first[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[0], h[1], ids_of(part)[doc], text_keys(data, offsets)[doc], place)], names=["h1", "h2", "d", "k", "place"]
+                    [pa.array(x) for x in (h[0], h[1], *(x[doc] for x in keys_of(part, data, offsets)), place)], names=["h1", "h2", "d", "k", "place"]
                 )
 
     return run
@@ -179,7 +169,7 @@ def screened(size: int, sketch, schema_names: list[str]):
                 found = W.split(data, offsets)
                 todo = np.zeros(len(part), bool)
                 todo[found.doc_of()[estimated_repeated(found, size, bits)]] = True
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids_of(part)), pa.array(text_keys(data, offsets)), pa.array(todo)], names=schema_names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, keys_of(part, data, offsets)), pa.array(todo)], names=schema_names)
 
     return run
 
@@ -195,13 +185,13 @@ def cut_words(size: int, sketch, columns: list[str]):
                 found = W.split(data, offsets)
                 n = np.diff(found.first)
                 gone = np.zeros(len(found.starts) + 1, np.int64)
-                todo = np.asarray(part.column("todo"))
+                todo = np.asarray(part.column("__todo"))
                 if todo.any():
                     at = estimated_repeated(found, size, bits)
                     again = np.zeros(len(found.starts), bool)
                     again[at] = True
                     for d in np.flatnonzero(todo):
-                        if (first := part.column("firsts")[int(d)].as_py()) is not None:
+                        if (first := part.column("__firsts")[int(d)].as_py()) is not None:
                             again[found.first[d] + np.asarray(first, np.int64)] = False
                     starts = np.flatnonzero(again)
                     np.add.at(gone, starts, 1)
@@ -232,21 +222,21 @@ def remove_repeats(docs: DataFrame, size: int = 20, max_cells: int = 1 << 29) ->
     """
     spark = docs.sparkSession
     made = ["n_words", "n_removed", "kept_text", "kept_sha256"]
-    docs = docs.drop(*made, "_d", "_k", "todo", "firsts")
+    docs = docs.drop(*made, "__d", "__k", "__todo", "__firsts")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = spark.sparkContext.broadcast(repeated_cells(slim, size, max_cells))
     firsts = (
         slim.mapInArrow(candidate_windows(size, sketch), "h1 long, h2 long, d long, k long, place int")
         .groupBy("h1", "h2")
         .agg(F.min(F.struct("d", "k", "place")).alias("m"))
-        .groupBy(F.col("m.d").alias("_d"), F.col("m.k").alias("_k"))
-        .agg(F.collect_list("m.place").alias("firsts"))
+        .groupBy(F.col("m.d").alias("__d"), F.col("m.k").alias("__k"))
+        .agg(F.collect_list("m.place").alias("__firsts"))
     )
-    names = [*docs.columns, "_d", "_k", "todo"]
-    ddl = extended(docs, _d="long", _k="long", todo="boolean")
+    names = [*docs.columns, "__d", "__k", "__todo"]
+    ddl = extended(docs, __d="long", __k="long", __todo="boolean")
     keyed = docs.mapInArrow(screened(size, sketch, names), ddl)
-    spread = F.when(F.col("todo"), F.col("_d")).otherwise(-1 - F.abs(F.xxhash64("_d", "_k")))  # these meet nothing
-    joined = keyed.withColumn("_d", spread).join(firsts, ["_d", "_k"], "left").select(*docs.columns, "todo", "firsts")
+    spread = F.when(F.col("__todo"), F.col("__d")).otherwise(-1 - F.abs(F.xxhash64("__d", "__k")))  # these meet nothing
+    joined = keyed.withColumn("__d", spread).join(firsts, ["__d", "__k"], "left").select(*docs.columns, "__todo", "__firsts")
     columns = [*docs.columns, *made]
     out = extended(docs, n_words="long", n_removed="long", kept_text="string", kept_sha256="string")
     return joined.mapInArrow(cut_words(size, sketch, columns), out)
