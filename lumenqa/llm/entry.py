@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import decontamination, ngram_join, sharding, substring_dedup, url_filter
+from lumenqa.llm import decontamination, ngram_join, sharding, substring_dedup, toxicity, url_filter
 from lumenqa.llm.workspace import Workspace
 
 
@@ -23,6 +23,18 @@ def op3_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(url_filter.captures_of(pages), url_filter.listed_history(pages)).drop("url")
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    score = toxicity.scored(docs.select("doc_id", "text"), model)
+    return score.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,13 +45,15 @@ def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=20)
-    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    work = Workspace(spark)
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), work, size=20)
+    return work.tie(cut.select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 QUERIES = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op3_temporal_url_filter": op3_temporal_url_filter,
+    "op5_compression_toxicity": op5_compression_toxicity,
     "op6_template_decontamination": op6_template_decontamination,
     "op9_bayes_ngram_join": op9_bayes_ngram_join,
     "op10_countmin_substring_dedup": op10_countmin_substring_dedup,
