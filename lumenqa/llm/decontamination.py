@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lumenqa.llm import bitset, templates
 from lumenqa.llm import words as W
-from lumenqa.llm.rowkeys import NO_ID, keys_of, row_key, rows_hit
-from lumenqa.llm.workspace import extended, text_bytes, text_slices
+from lumenqa.llm.rowkeys import NO_ID, hashed_keys, keys_of, rows_hit
+from lumenqa.llm.workspace import bounded_batches, extended, text_bytes, text_slices
 
 U = np.uint64
 
@@ -101,6 +101,7 @@ def document_windows(bits, sizes: list[int]):
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 4, coverage: float = 0.5) -> DataFrame:
     """(d, k, item_id, coverage, kind) for each document that holds a benchmark item; d and k as in rowkeys."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     id_type = asked.schema["item_id"].dataType.simpleString()
@@ -143,8 +144,3 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     rest = typed.mapInArrow(rows_hit(bits, columns, False), typed.schema)
     hit = typed.mapInArrow(rows_hit(bits, [*columns, "__d", "__k"], True), extended(typed, __d="long", __k="long"))
     return rest.unionByName(hit.join(bad, ["__d", "__k"], "left_anti").select(columns))
-
-
-def hashed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(row_key(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["key"])

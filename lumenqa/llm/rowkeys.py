@@ -16,27 +16,41 @@ NO_ID = (1 << 63) - 1
 U = np.uint64
 
 
+def text_keys(data: np.ndarray, offsets: np.ndarray, base: int = W.WINDOW_BASES[1]) -> np.ndarray:
+    """A 63-bit hash of each whole text; another base gives an independent one."""
+    key = W.mix(W.stretch_hashes(data.astype(U) + U(1), offsets[:-1], offsets[1:], base) + np.diff(offsets).astype(U))
+    return (key >> U(1)).astype(np.int64)
+
+
 def keys_of(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc_id with nulls last, hash of the whole text): equal for repeated rows alone."""
-    d = np.asarray(pa.compute.fill_null(part.column("doc_id").cast(pa.int64()), NO_ID))
-    key = W.mix(W.stretch_hashes(data.astype(U) + U(1), offsets[:-1], offsets[1:], W.WINDOW_BASES[1]) + np.diff(offsets).astype(U))
-    return d, (key >> U(1)).astype(np.int64)
+    return np.asarray(pa.compute.fill_null(part.column("doc_id").cast(pa.int64()), NO_ID)), text_keys(data, offsets)
+
+
+def hashed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row keys of (d, k) columns."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(row_key(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["key"])
 
 
 def row_key(d: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (W.mix(d.astype(U) * U(0x9E3779B97F4A7C15) ^ k.astype(U)) >> U(1)).astype(np.int64)
 
 
-def rows_hit(bits, columns: list[str], keep: bool):
-    """Rows whose key the bit table has (keep) or has not; with d and k appended where kept."""
+def rows_hit(bits, columns: list[str], keep: bool, by_text: bool = False):
+    """Rows whose row key (or text key) the bit table has (keep) or has not; columns may name __d, __k and __k2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for batch in batches:
             for part in text_slices(batch, "text"):
-                d, k = keys_of(part, *text_bytes(part.column("text")))
-                hit = bitset.hits(table, row_key(d, k))
-                whole = pa.RecordBatch.from_arrays([*part.columns, pa.array(d), pa.array(k)], names=[*part.schema.names, "__d", "__k"])
+                data, offsets = text_bytes(part.column("text"))
+                d, k = keys_of(part, data, offsets)
+                hit = bitset.hits(table, k if by_text else row_key(d, k))
+                made = {"__d": d, "__k": k}
+                if "__k2" in columns:
+                    made["__k2"] = text_keys(data, offsets, W.BYTE_BASE)
+                whole = pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, made.values())], names=[*part.schema.names, *made])
                 yield whole.filter(pa.array(hit if keep else ~hit)).select(columns)
 
     return run

@@ -16,6 +16,9 @@ The merged bits are the only thing broadcast: ROWS * cells / 8 bytes, with cells
 expected, at least 2^20 and at most ``max_cells`` (2^29: 128 MB). Beyond that the sketch fills and passes more
 windows to the exact grouping; results stay the same.
 
+Copies of whole texts are set aside first: all their windows start earlier in the copy of least doc_id, so they
+are cut without being looked at again. Only texts that occur twice or have repeated windows are ever shuffled.
+
 Groupings are partial before the shuffle, so a passage that a third of the documents share sends one row a
 task. Documents with the same doc_id and text count as one document (nothing is removed from one because of
 the other); of the same doc_id and different texts, the one with the smaller text hash is earlier. A null
@@ -33,9 +36,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenqa.llm import bitset
 from lumenqa.llm import words as W
-from lumenqa.llm.rowkeys import keys_of
-from lumenqa.llm.workspace import extended, text_bytes, text_slices
+from lumenqa.llm.rowkeys import keys_of, rows_hit, text_keys
+from lumenqa.llm.workspace import Workspace, extended, text_bytes, text_slices
 
 GRAM = 8
 ROWS = 2
@@ -94,7 +98,7 @@ def partition_sketch(size: int, cells: int):
                 _, where, grams = anchored(found, size)
                 held.append(grams[np.unique(where)])
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > 1_000_000:
                     yield from blocks(np.concatenate(held))
                     held, n = [], 0
         if n:
@@ -158,8 +162,16 @@ def candidate_windows(size: int, sketch):
     return run
 
 
-def screened(size: int, sketch, schema_names: list[str]):
-    """Every document with its join key; ``todo`` is false where no window of it can be repeated."""
+def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            data, offsets = text_bytes(part.column("text"))
+            d, k = keys_of(part, data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(text_keys(data, offsets, W.BYTE_BASE))], names=["d", "k", "k2"])
+
+
+def screened(size: int, sketch, columns: list[str], todo: bool):
+    """The documents of which some window (todo) or no window can be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
@@ -167,63 +179,79 @@ def screened(size: int, sketch, schema_names: list[str]):
             for part in text_slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 found = W.split(data, offsets)
-                todo = np.zeros(len(part), bool)
-                todo[found.doc_of()[estimated_repeated(found, size, bits)]] = True
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, keys_of(part, data, offsets)), pa.array(todo)], names=schema_names)
+                some = np.zeros(len(part), bool)
+                some[found.doc_of()[estimated_repeated(found, size, bits)]] = True
+                if todo:
+                    d, k = keys_of(part, data, offsets)
+                    part = pa.RecordBatch.from_arrays([*part.columns, pa.array(d), pa.array(k)], names=[*part.schema.names, "__d", "__k"])
+                yield part.filter(pa.array(some if todo else ~some)).select(columns)
 
     return run
 
 
-def cut_words(size: int, sketch, columns: list[str]):
-    """Cut the words of repeated windows: those estimated repeated that are nowhere the earliest."""
+def cut_words(size: int, sketch, columns: list[str], rule: str):
+    """Cut documents by rule: ``windows`` cuts those estimated repeated that are nowhere the earliest, ``copy`` every
+    window, ``none`` nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
         for batch in batches:
             for part in text_slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 found = W.split(data, offsets)
                 n = np.diff(found.first)
-                gone = np.zeros(len(found.starts) + 1, np.int64)
-                todo = np.asarray(part.column("__todo"))
-                if todo.any():
-                    at = estimated_repeated(found, size, bits)
-                    again = np.zeros(len(found.starts), bool)
-                    again[at] = True
-                    for d in np.flatnonzero(todo):
-                        if (first := part.column("__firsts")[int(d)].as_py()) is not None:
+                keep = np.ones(len(found.starts), bool)
+                if rule == "copy":
+                    keep = np.repeat(n < size, n)
+                if rule == "windows":
+                    again = np.zeros(len(keep), bool)
+                    again[estimated_repeated(found, size, sketch.value)] = True
+                    for d in range(len(part)):
+                        if (first := part.column("__firsts")[d].as_py()) is not None:
                             again[found.first[d] + np.asarray(first, np.int64)] = False
-                    starts = np.flatnonzero(again)
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, starts + size, -1)
-                keep = np.cumsum(gone[:-1]) == 0
-                out_text, digest = [], []
-                raw = data.tobytes()
+                    gone = np.zeros(len(keep) + 1, np.int64)
+                    np.add.at(gone, np.flatnonzero(again), 1)
+                    np.add.at(gone, np.flatnonzero(again) + size, -1)
+                    keep = np.cumsum(gone[:-1]) == 0
+                kept, raw = [], data.tobytes()
                 for d in range(len(part)):
                     lo, hi = found.first[d], found.first[d + 1]
                     if keep[lo:hi].all():
-                        kept = b" ".join(raw[offsets[d] : offsets[d + 1]].split())  # bytes split at the same six separators
+                        kept.append(b" ".join(raw[offsets[d] : offsets[d + 1]].split()))  # bytes split at the same six separators
                     else:
                         sel = np.flatnonzero(keep[lo:hi]) + lo
-                        kept = b" ".join([raw[s:e] for s, e in zip(found.starts[sel].tolist(), found.ends[sel].tolist(), strict=True)])
-                    out_text.append(kept)
-                    digest.append(hashlib.sha256(kept).hexdigest())
-                removed = n - np.add.reduceat(np.append(keep, False).astype(np.int64), np.minimum(found.first[:-1], len(keep))) * (n > 0)
-                made = {"n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept_text": pa.array(out_text, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(digest)}
-                yield pa.RecordBatch.from_arrays([made.get(c) if c in made else part.column(c) for c in columns], names=columns)
+                        kept.append(b" ".join([raw[s:e] for s, e in zip(found.starts[sel].tolist(), found.ends[sel].tolist(), strict=True)]))
+                left = np.concatenate([[0], np.cumsum(keep)])
+                removed = n - (left[found.first[1:]] - left[found.first[:-1]])
+                made = {
+                    "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)),
+                    "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+                }
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in columns], names=columns)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, max_cells: int = 1 << 29) -> DataFrame:
+def remove_repeats(docs: DataFrame, work: Workspace, size: int = 20, max_cells: int = 1 << 29) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, ...) with n_words, n_removed, kept_text and kept_sha256.
 
     kept_text joins the kept words by one space. Columns of docs named like these are replaced.
     """
     spark = docs.sparkSession
     made = ["n_words", "n_removed", "kept_text", "kept_sha256"]
-    docs = docs.drop(*made, "__d", "__k", "__todo", "__firsts")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.drop(*made, "__d", "__k", "__k2", "__firsts").withColumn("text", F.col("text").cast("string"))
+    columns, identity = docs.columns, ["__k", "__k2"]
+
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(only_keys, "d long, k long, k2 long")
+    often = keys.groupBy(F.col("k").alias("__k"), F.col("k2").alias("__k2")).agg(F.min("d").alias("__first"), F.max("d").alias("__last"))
+    often = often.where("__first < __last").drop("__last").checkpoint()
+    bits = spark.sparkContext.broadcast(bitset.build(often.select(F.col("__k").alias("key")), often.count()))
+    hit = docs.mapInArrow(rows_hit(bits, [*columns, "__d", *identity], True, by_text=True), extended(docs, __d="long", __k="long", __k2="long"))
+    hit = hit.join(often, identity, "left")
+    copies = hit.where(F.col("__d") > F.col("__first")).select(columns)
+    earliest = work.table(hit.where(F.coalesce(F.col("__d") == F.col("__first"), F.lit(True))).select(columns), "earliest")
+    originals = docs.mapInArrow(rows_hit(bits, columns, False, by_text=True), docs.schema).unionByName(earliest)
+
+    slim = originals.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(repeated_cells(slim, size, max_cells))
     firsts = (
         slim.mapInArrow(candidate_windows(size, sketch), "h1 long, h2 long, d long, k long, place int")
@@ -232,11 +260,9 @@ def remove_repeats(docs: DataFrame, size: int = 20, max_cells: int = 1 << 29) ->
         .groupBy(F.col("m.d").alias("__d"), F.col("m.k").alias("__k"))
         .agg(F.collect_list("m.place").alias("__firsts"))
     )
-    names = [*docs.columns, "__d", "__k", "__todo"]
-    ddl = extended(docs, __d="long", __k="long", __todo="boolean")
-    keyed = docs.mapInArrow(screened(size, sketch, names), ddl)
-    spread = F.when(F.col("__todo"), F.col("__d")).otherwise(-1 - F.abs(F.xxhash64("__d", "__k")))  # these meet nothing
-    joined = keyed.withColumn("__d", spread).join(firsts, ["__d", "__k"], "left").select(*docs.columns, "__todo", "__firsts")
-    columns = [*docs.columns, *made]
+    todo = originals.mapInArrow(screened(size, sketch, [*columns, "__d", "__k"], True), extended(docs, __d="long", __k="long"))
+    todo = todo.join(firsts, ["__d", "__k"], "left").select(*columns, "__firsts")
+    idle = originals.mapInArrow(screened(size, sketch, columns, False), docs.schema)
     out = extended(docs, n_words="long", n_removed="long", kept_text="string", kept_sha256="string")
-    return joined.mapInArrow(cut_words(size, sketch, columns), out)
+    cut = [frame.mapInArrow(cut_words(size, sketch, [*columns, *made], rule), out) for frame, rule in ((idle, "none"), (todo, "windows"), (copies, "copy"))]
+    return cut[0].unionByName(cut[1]).unionByName(cut[2])

@@ -24,11 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts are held in memory by both sides, so the session's default of 10,000 rows is lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 class Workspace:
     """Tables written to the shared folder; they go when the result they are tied to goes."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        bounded_batches(spark)
 
     def table(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write and reread: lineage ends here and lost executors cost no recomputation."""
@@ -63,7 +71,7 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000):
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 500_000):
     """Cut a batch into consecutive slices of about ``limit`` text bytes; a longer text is a slice of its own."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)

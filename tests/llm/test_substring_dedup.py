@@ -5,6 +5,7 @@ import re
 import pytest
 
 from lumenqa.llm import substring_dedup
+from lumenqa.llm.workspace import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -29,7 +30,7 @@ def brute(rows, size):
 
 def run(spark, rows, size):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = substring_dedup.remove_repeats(df, size).collect()
+    out = substring_dedup.remove_repeats(df, Workspace(spark), size).collect()
     return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out)
 
 
@@ -53,7 +54,7 @@ def test_edges(spark):
     rows = [(1, text), (1, text), (None, text), (2, "x" * 3_000_000 + " " + text), (3, " \n")]
     assert run(spark, rows, 20) == brute(rows, 20)
     empty = spark.createDataFrame([], "doc_id long, text string, n_words string, todo int")
-    assert substring_dedup.remove_repeats(empty).collect() == []
+    assert substring_dedup.remove_repeats(empty, Workspace(spark)).collect() == []
     more = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, lang string, todo int")
-    row = substring_dedup.remove_repeats(more).first()
+    row = substring_dedup.remove_repeats(more, Workspace(spark)).first()
     assert (row.lang, row.n_words, row.n_removed, row.kept_text) == ("x", 2, 0, "a b")
