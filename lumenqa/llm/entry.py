@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import decontamination, ngram_join, sharding, substring_dedup, toxicity, url_filter
+from lumenqa.llm import decontamination, language_crf, ngram_join, sharding, substring_dedup, toxicity, url_filter
 from lumenqa.llm.workspace import Workspace
 
 
@@ -39,6 +39,12 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = language_crf.identified(docs.select("doc_id", "text"), language_crf.learn(docs))
+    return said.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     return work.tie(ngram_join.near_duplicates(table(spark, sf_dir, "documents"), work, threshold=0.8).drop("kept"))
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_temporal_url_filter": op3_temporal_url_filter,
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_template_decontamination": op6_template_decontamination,
+    "op7_crf_language": op7_crf_language,
     "op9_bayes_ngram_join": op9_bayes_ngram_join,
     "op10_countmin_substring_dedup": op10_countmin_substring_dedup,
 }
