@@ -269,7 +269,7 @@ def similarity_classes(docs: DataFrame, work: Workspace, threshold: float = 0.8,
     live = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = banded.join(live, "band").join(with_bands.select("node", "s.sig"), "node")
     dealt = deal(members, "band", "m", BUCKET_BLOCK)
-    ordered = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "own", "node", "sig")
+    ordered = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node").select("band", "lo", "hi", "own", "node", "sig")
     proposed = ordered.mapInArrow(compare_buckets(least_matches(threshold, tolerance)), "u long, v long").distinct()
     groups = connected_components(proposed)
 
@@ -283,7 +283,7 @@ def similarity_classes(docs: DataFrame, work: Workspace, threshold: float = 0.8,
         .mapInArrow(shingled, "cc long, node long, m long, copies long, shingles binary")
         .dropDuplicates(["node"])
     )
-    parts = deal(sets, "cc", "m", GROUP_BLOCK).repartition("cc", "lo", "hi").sortWithinPartitions("cc", "lo", "hi")
+    parts = deal(sets, "cc", "m", GROUP_BLOCK).repartition("cc", "lo", "hi").sortWithinPartitions("cc", "lo", "hi", "node")
     verified = parts.select("cc", "lo", "hi", "own", "node", "copies", "shingles").mapInArrow(verify_groups(threshold), "node long, root long, links long").checkpoint()
     joined = connected_components(verified.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
 
