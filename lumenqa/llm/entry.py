@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import decontamination, language_crf, ngram_join, sharding, substring_dedup, toxicity, url_filter
+from lumenqa.llm import bpe_automaton, decontamination, language_crf, ngram_join, sharding, substring_dedup, toxicity, url_filter
 from lumenqa.llm.workspace import Workspace
 
 
@@ -45,6 +45,18 @@ def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file the contract names; it is read where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_automaton.coded(docs, tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
 def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     return work.tie(ngram_join.near_duplicates(table(spark, sf_dir, "documents"), work, threshold=0.8).drop("kept"))
@@ -62,6 +74,7 @@ QUERIES = {
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_crf_language": op7_crf_language,
+    "op8_automaton_bpe": op8_automaton_bpe,
     "op9_bayes_ngram_join": op9_bayes_ngram_join,
     "op10_countmin_substring_dedup": op10_countmin_substring_dedup,
 }
