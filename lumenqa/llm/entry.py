@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenqa.llm import bpe_automaton, decontamination, language_crf, ngram_join, sharding, substring_dedup, toxicity, url_filter
+from lumenqa.llm import audio, bpe_automaton, decontamination, language_crf, ngram_join, sharding, substring_dedup, token_store, toxicity, url_filter
 from lumenqa.llm.workspace import Workspace
 
 
@@ -18,6 +18,22 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
+    media = work.table(audio.stored(table(spark, sf_dir, "documents"), unit=64), "media")
+    found = audio.features(media, tail=64)
+    digest = F.concat_ws(
+        ";",
+        F.format_string("frames=%d", "frames"),
+        F.format_string("segments=%d", F.size("spans")),
+        F.concat(F.lit("active="), F.to_json("spans")),
+        F.concat(F.lit("mel="), F.array_join("mean_mel", ",")),
+        F.concat(F.lit("tensors="), F.sha2("tensors", 256)),
+    )
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return work.tie(found.select(*columns, F.sha2(digest, 256).alias("feature"), "frames", F.size("spans").alias("segments")))
+
+
 def op3_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(url_filter.captures_of(pages), url_filter.listed_history(pages)).drop("url")
@@ -52,6 +68,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_rans_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
+    blocks, freq = token_store.write_tokens(table(spark, sf_dir, "documents"), work, tokenizer_path(), end_id=1)
+    return work.tie(token_store.read_tokens(blocks, freq))
+
+
 def op8_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_automaton.coded(docs, tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
@@ -70,7 +92,9 @@ def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_feistel_sharding": op1_feistel_sharding,
+    "op2_audio_features": op2_audio_features,
     "op3_temporal_url_filter": op3_temporal_url_filter,
+    "op4_rans_token_store": op4_rans_token_store,
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_crf_language": op7_crf_language,

@@ -45,6 +45,12 @@ class Workspace:
         df.write.options(compression="zstd", **options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, name: str) -> None:
+        """Delete the tables of one name that later steps no longer read."""
+        gone = [p for p in self.paths if p.rsplit("/", 1)[1].startswith(f"{name}-")]
+        drop_paths(self.spark, gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
     def drop(self) -> None:
         drop_paths(self.spark, self.paths)
         self.paths = []
