@@ -277,10 +277,10 @@ def a26(t):
     return t("documents").groupBy("source").agg(count.alias("n"), F.countDistinct("text").alias("texts")).orderBy(F.desc("n"), "source").limit(5)
 
 
-@query("a27_running_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS mean FROM events")
+@query("a27_running_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS mean FROM events")
 def a27(t):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").select("event_id", F.round(F.avg("value").over(w), 4).alias("mean"))
+    return t("events").select("event_id", F.round(F.avg("value").over(w), 9).alias("mean"))
 
 
 @query("a29_g8_null_means", "SELECT event_type, round(avg(CASE WHEN value > 1e9 THEN value END), 6) AS none, round(avg(CASE WHEN event_id % 3 = 0 THEN value END), 6) AS some FROM events GROUP BY event_type")
