@@ -12,7 +12,12 @@ from lumenqa.plans import text_queries as Q
 from lumenqa.plans import views as V
 from lumenqa.plans.registry import query
 
-count = F.count(F.lit(1))
+
+
+def count():
+    return F.count(F.lit(1))
+
+
 SHUFFLE = "((CAST({k} AS BIGINT) * 2654435761 + {s}) % 4294967296)"
 
 
@@ -62,7 +67,7 @@ def j5(t):
 def j6(t):
     v = t("events").where("event_type in ('view', 'click')").groupBy("user_id").agg(F.avg("value").alias("v"))
     joined = t("labels").join(v, F.col("user_id") == F.col("doc_id"), "left")
-    return joined.groupBy("toxic").agg(count.alias("n"), F.count("v").alias("n_scored"), F.round(F.avg("v"), 6).alias("mean"))
+    return joined.groupBy("toxic").agg(count().alias("n"), F.count("v").alias("n_scored"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query(
@@ -72,7 +77,7 @@ def j6(t):
 def j8(t):
     top = V.runs(t).where("run = 'run3' AND rank <= 4").select("qid", "rank", F.col("docid").alias("doc_id"))
     text = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.substring("text", 1, 20))
-    got = top.join(t("documents").select("doc_id", "text"), "doc_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", text.alias("c")))).alias("c"), count.alias("n"))
+    got = top.join(t("documents").select("doc_id", "text"), "doc_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", text.alias("c")))).alias("c"), count().alias("n"))
     return got.select("qid", F.array_join(F.transform("c", lambda x: x["c"]), "|").alias("contexts"), "n")
 
 
@@ -142,7 +147,7 @@ def f2(t):
 
 @query("f5_reason_counters", f"WITH p AS ({PAIR}) SELECT {REASON} AS reason, count(*) AS n FROM p GROUP BY 1")
 def f5(t):
-    return reasons(t).groupBy("reason").agg(count.alias("n"))
+    return reasons(t).groupBy("reason").agg(count().alias("n"))
 
 
 ANSWERS = """
@@ -184,7 +189,7 @@ def a13(t):
 )
 def a14(t):
     return answers(t).groupBy("run", (F.col("qid") % 2 == 0).alias("even")).agg(
-        count.alias("n"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("ent"), 6).alias("ent"), F.round(F.count_if("success") / count, 6).alias("success_rate")
+        count().alias("n"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("ent"), 6).alias("ent"), F.round(F.count_if("success") / count(), 6).alias("success_rate")
     )
 
 
@@ -196,14 +201,14 @@ def a15(t):
 
 @query("f13_failure_kinds", f"WITH {ANSWERS}, c AS (SELECT qid, count(*) FILTER (success) <= 1 AS answer_low, count(*) <= 2 AS ir_low FROM s GROUP BY qid) SELECT qid, CASE WHEN answer_low AND ir_low THEN 'both_low' WHEN ir_low THEN 'ir_low' WHEN answer_low THEN 'answer_low' ELSE 'none' END AS kind FROM c")
 def f13(t):
-    c = answers(t).groupBy("qid").agg((F.count_if("success") <= 1).alias("answer_low"), (count <= 2).alias("ir_low"))
+    c = answers(t).groupBy("qid").agg((F.count_if("success") <= 1).alias("answer_low"), (count() <= 2).alias("ir_low"))
     kind = F.when(F.col("answer_low") & F.col("ir_low"), "both_low").when(F.col("ir_low"), "ir_low").when(F.col("answer_low"), "answer_low").otherwise("none")
     return c.select("qid", kind.alias("kind"))
 
 
 @query("f12_a28_stage_shares", "SELECT c_mktsegment AS persona, count(*) FILTER (c_acctbal > 0) AS kept, count(*) FILTER (c_acctbal <= 0) AS eliminated, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM customer GROUP BY c_mktsegment")
 def f12(t):
-    g = t("customer").groupBy(F.col("c_mktsegment").alias("persona")).agg(F.count_if(F.col("c_acctbal") > 0).alias("kept"), F.count_if(F.col("c_acctbal") <= 0).alias("eliminated"), count.alias("n"))
+    g = t("customer").groupBy(F.col("c_mktsegment").alias("persona")).agg(F.count_if(F.col("c_acctbal") > 0).alias("kept"), F.count_if(F.col("c_acctbal") <= 0).alias("eliminated"), count().alias("n"))
     return g.select("persona", "kept", "eliminated", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
@@ -232,7 +237,7 @@ def a16(t):
     x = F.col("text")
     long = t("documents").select("lang", F.stack(F.lit(2), F.lit("tokens"), T.word_count(x).cast("double"), F.lit("chars"), T.char_count(x).cast("double")).alias("field", "v"))
     return long.groupBy("lang", "field").agg(
-        count.alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.median("v").alias("median"), F.round(F.stddev_pop("v"), 6).alias("std"), F.min("v").alias("low"), F.max("v").alias("high")
+        count().alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.median("v").alias("median"), F.round(F.stddev_pop("v"), 6).alias("std"), F.min("v").alias("low"), F.max("v").alias("high")
     )
 
 
@@ -252,7 +257,7 @@ def a18(t):
 def a19(t):
     j = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left")
     good = F.col("quality") == 1
-    return j.groupBy("lang").agg(count.alias("generated"), F.count_if(good).alias("kept"), F.count_if(F.col("quality") == 0).alias("eliminated"), F.count_if(good & (F.col("toxic") == 0)).alias("ir_good"))
+    return j.groupBy("lang").agg(count().alias("generated"), F.count_if(good).alias("kept"), F.count_if(F.col("quality") == 0).alias("eliminated"), F.count_if(good & (F.col("toxic") == 0)).alias("ir_good"))
 
 
 @query(
@@ -262,7 +267,7 @@ def a19(t):
 )
 def a20(t):
     d = t("documents").select("source", T.has_inspection_citation(F.col("text")).alias("c"), (~F.col("text").contains(".")).alias("w"))
-    g = d.groupingSets([[F.col("source")], []], F.col("source")).agg(count.alias("n"), F.count_if("c").alias("with_citation"), F.count_if("w").alias("without_stop"))
+    g = d.groupingSets([[F.col("source")], []], F.col("source")).agg(count().alias("n"), F.count_if("c").alias("with_citation"), F.count_if("w").alias("without_stop"))
     return g.select(F.coalesce("source", F.lit("ALL")).alias("file"), "n", "with_citation", "without_stop")
 
 
@@ -274,7 +279,7 @@ def a23(t):
 
 @query("a26_u4_distinct_documents", "SELECT source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
 def a26(t):
-    return t("documents").groupBy("source").agg(count.alias("n"), F.countDistinct("text").alias("texts")).orderBy(F.desc("n"), "source").limit(5)
+    return t("documents").groupBy("source").agg(count().alias("n"), F.countDistinct("text").alias("texts")).orderBy(F.desc("n"), "source").limit(5)
 
 
 @query("a27_running_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS mean FROM events")
@@ -293,7 +298,7 @@ def a29(t):
 def a30(t):
     raw = F.get(F.array(F.lit("train"), F.lit(" Dev"), F.lit("TEST"), F.lit("x"), F.lit(None)), (F.col("o_orderkey") % 5).cast("int"))
     low = F.lower(T.strip(raw))
-    return t("orders").select(F.when(low.isin("train", "dev", "test"), low).otherwise("UNKNOWN").alias("split")).groupBy("split").agg(count.alias("n"))
+    return t("orders").select(F.when(low.isin("train", "dev", "test"), low).otherwise("UNKNOWN").alias("split")).groupBy("split").agg(count().alias("n"))
 
 
 @query("u5_content_dedup", "SELECT sha256(concat(coalesce(lang, ''), '||', coalesce(text, ''))) AS content_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -310,8 +315,8 @@ def u6(t):
 @query("u7_duplicate_counts", "SELECT source, count(*) - count(DISTINCT text) AS within, (SELECT count(*) - count(DISTINCT text) FROM documents) AS across FROM documents GROUP BY source")
 def u7(t):
     d = t("documents")
-    across = F.broadcast(d.agg((count - F.countDistinct("text")).alias("across")))  # one row
-    return d.groupBy("source").agg((count - F.countDistinct("text")).alias("within")).join(across)
+    across = F.broadcast(d.agg((count() - F.countDistinct("text")).alias("across")))  # one row
+    return d.groupBy("source").agg((count() - F.countDistinct("text")).alias("within")).join(across)
 
 
 @query("u1_u3_u10_set_operations", "(SELECT doc_id AS id, 'both' AS side FROM documents INTERSECT SELECT page_id, 'both' FROM pages) UNION ALL (SELECT doc_id, 'left' FROM documents EXCEPT SELECT page_id, 'left' FROM pages)")
@@ -375,7 +380,7 @@ def l9(t):
 
 @query("l10_most_common", "SELECT event_type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, min(event_id)) AS INT) AS place FROM events GROUP BY event_type")
 def l10(t):
-    g = t("events").groupBy("event_type").agg(count.alias("n"), F.min("event_id").alias("first"))
+    g = t("events").groupBy("event_type").agg(count().alias("n"), F.min("event_id").alias("first"))
     return g.select("event_type", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("place"))
 
 
