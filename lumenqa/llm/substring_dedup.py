@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lumenqa.llm import bitset
 from lumenqa.llm import words as W
 from lumenqa.llm.rowkeys import keys_of, rows_hit, text_keys
-from lumenqa.llm.workspace import Workspace, extended, text_bytes, text_slices
+from lumenqa.llm.workspace import Workspace, extended, text_bytes, text_slices, then
 
 GRAM = 8
 ROWS = 2
@@ -67,7 +67,7 @@ def anchored(found: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def cells_of(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (W.mix(anchors + U(0x9E3779B97F4A7C15) * U(row + 1)) & U(cells - 1)).astype(np.int64)
+    return (W.mix(anchors + U(0x9E3779B97F4A7C15 * (row + 1) & 0xFFFFFFFFFFFFFFFF)) & U(cells - 1)).astype(np.int64)
 
 
 def partition_sketch(size: int, cells: int):
@@ -119,11 +119,10 @@ def merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(total > 1).tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def repeated_cells(docs: DataFrame, size: int, max_cells: int) -> np.ndarray:
-    """The merged sketch as packed bits, ROWS x cells."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def repeated_cells(n_bytes: int, over, size: int, max_cells: int) -> np.ndarray:
+    """The merged sketch as packed bits, ROWS x cells; ``over`` applies an Arrow function to the texts."""
     cells = 1 << max(20, min(max_cells.bit_length() - 1, int(4 * n_bytes / 40).bit_length()))
-    sketch = docs.select("text").mapInArrow(partition_sketch(size, cells), "block long, once binary, more binary")
+    sketch = over(partition_sketch(size, cells), "block long, once binary, more binary")
     merged = sketch.groupBy("block").applyInArrow(merge_blocks, "block long, bits binary")
     bits = np.zeros((ROWS, cells // BLOCK, BLOCK // 8), np.uint8)
     flat = bits.reshape(-1, BLOCK // 8)
@@ -249,20 +248,25 @@ def remove_repeats(docs: DataFrame, work: Workspace, size: int = 20, max_cells:
     hit = hit.join(often, identity, "left")
     copies = hit.where(F.col("__d") > F.col("__first")).select(columns)
     earliest = work.table(hit.where(F.coalesce(F.col("__d") == F.col("__first"), F.lit(True))).select(columns), "earliest")
-    originals = docs.mapInArrow(rows_hit(bits, columns, False, by_text=True), docs.schema).unionByName(earliest)
+    slim = ["doc_id", "text"]
+
+    def over(step, ddl, names=slim):
+        """``step`` over the texts that remain: those of one row, and the earliest of each class of copies."""
+        lone = docs.select(names).mapInArrow(then(rows_hit(bits, names, False, by_text=True), step), ddl)
+        return lone.unionByName(earliest.select(names).mapInArrow(step, ddl))
 
-    slim = originals.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = spark.sparkContext.broadcast(repeated_cells(slim, size, max_cells))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch = spark.sparkContext.broadcast(repeated_cells(n_bytes, over, size, max_cells))
     firsts = (
-        slim.mapInArrow(candidate_windows(size, sketch), "h1 long, h2 long, d long, k long, place int")
+        over(candidate_windows(size, sketch), "h1 long, h2 long, d long, k long, place int")
         .groupBy("h1", "h2")
         .agg(F.min(F.struct("d", "k", "place")).alias("m"))
         .groupBy(F.col("m.d").alias("__d"), F.col("m.k").alias("__k"))
         .agg(F.collect_list("m.place").alias("__firsts"))
     )
-    todo = originals.mapInArrow(screened(size, sketch, [*columns, "__d", "__k"], True), extended(docs, __d="long", __k="long"))
-    todo = todo.join(firsts, ["__d", "__k"], "left").select(*columns, "__firsts")
-    idle = originals.mapInArrow(screened(size, sketch, columns, False), docs.schema)
     out = extended(docs, n_words="long", n_removed="long", kept_text="string", kept_sha256="string")
-    cut = [frame.mapInArrow(cut_words(size, sketch, [*columns, *made], rule), out) for frame, rule in ((idle, "none"), (todo, "windows"), (copies, "copy"))]
-    return cut[0].unionByName(cut[1]).unionByName(cut[2])
+    cutter = lambda rule: cut_words(size, sketch, [*columns, *made], rule)
+    todo = over(screened(size, sketch, [*columns, "__d", "__k"], True), extended(docs, __d="long", __k="long"), columns)
+    todo = todo.join(firsts, ["__d", "__k"], "left").select(*columns, "__firsts").mapInArrow(cutter("windows"), out)
+    idle = over(then(screened(size, sketch, columns, False), cutter("none")), out, columns)
+    return idle.unionByName(todo).unionByName(copies.mapInArrow(cutter("copy"), out))

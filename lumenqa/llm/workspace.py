@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -77,7 +78,27 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 500_000):
+def then(*steps):
+    """Arrow functions one after another in one Python worker, where separate plan nodes would each hold a worker of their own."""
+
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
+def trim() -> None:
+    """Hand freed memory back to the system: Python workers live on between tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 300_000):
     """Cut a batch into consecutive slices of about ``limit`` text bytes; a longer text is a slice of its own."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
@@ -89,6 +110,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 500_000):
             upto += 1
         yield batch.slice(at, upto - at)
         at = upto
+    trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
