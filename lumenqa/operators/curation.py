@@ -53,8 +53,8 @@ def first_reason(**reasons: Column) -> Column:
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
-    """A seeded order by integer arithmetic that any engine reproduces."""
-    return (key * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    """A seeded order by integer arithmetic that any engine reproduces; keys that differ by 2^31 tie."""
+    return (key % F.lit(2147483648) * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:

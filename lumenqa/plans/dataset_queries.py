@@ -18,7 +18,7 @@ def count():
     return F.count(F.lit(1))
 
 
-SHUFFLE = "((CAST({k} AS BIGINT) * 2654435761 + {s}) % 4294967296)"
+SHUFFLE = "((CAST({k} AS BIGINT) % 2147483648 * 2654435761 + {s}) % 4294967296)"
 
 
 @query(

@@ -202,3 +202,11 @@ def keyed_lookup(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("key", F.coalesce(*names))
     rest = [c for c in rows.columns]
     return keyed.where("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct(*rest), "pos").alias("r")).select("key", "r.*")
+
+
+def per_qa_metrics(spark: SparkSession, path: str, names: list[str], missing_ok: bool = True) -> DataFrame:
+    """(qa_id, metrics...) as doubles, the last line of an id by its offset; an unreadable value is null."""
+    ddl = ", ".join(["qa_id string", *[f"{n} string" for n in names]])
+    rows = jsonl(spark, path, ddl, missing_ok=missing_ok).withColumn("pos", F.monotonically_increasing_id())
+    picked = rows.where("qa_id IS NOT NULL").groupBy("qa_id").agg(F.max_by(F.struct(*names), "pos").alias("r"))
+    return picked.select("qa_id", *[F.col(f"r.{n}").try_cast("double").alias(n) for n in names])
