@@ -49,7 +49,8 @@ def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     Repeated rows are counted before the shuffle and unfolded after it. The table of bucket offsets has
     BUCKETS rows at any input size, so it is broadcast.
     """
-    keyed = df.withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
+    # never null, so no filter sets the two uses apart and they share one scan and exchange
+    keyed = df.withColumn("bucket", F.coalesce(F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)), F.lit(0)))
     counted = keyed.groupBy("bucket", *columns).agg(F.count(F.lit(1)).alias("n"))
     per_bucket = counted.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
     order = Window.orderBy("bucket")
