@@ -98,7 +98,7 @@ def document_windows(bits, sizes: list[int]):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 4, coverage: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 4, coverage: float = 0.25) -> DataFrame:
     """(d, k, item_id, coverage, kind) for each document that holds a benchmark item; d and k as in rowkeys."""
     spark = docs.sparkSession
     bounded_batches(spark)

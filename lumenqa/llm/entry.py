@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lumenqa.llm import audio, bpe_automaton, decontamination, language_crf, ngram_join, sharding, substring_dedup, token_store, toxicity, url_filter
 from lumenqa.llm.workspace import Workspace
+from lumenqa.session import reachable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
