@@ -32,6 +32,7 @@ from lumenqa.llm.workspace import bounded_batches, extended, text_slices
 
 NEVER = 1 << 60
 TABLE = 1 << 19
+PREFIX = 4
 
 
 class Automaton:
@@ -50,8 +51,13 @@ class Automaton:
         for rank, pair in enumerate(model["merges"]):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self.add_merge(self.ids[u], self.ids[v], self.ids[u + v], rank)
+        self.prefixes, self.removals = cache(self.prefixes), cache(self.removals)  # the automaton is complete now
         self.table: dict[int, bool] = {}
-        self.longest = max(len(t.removesuffix(self.end) or t) for t in self.ids)
+        self.reach: dict[str, int] = {}  # first PREFIX symbols -> length of the longest token that begins so
+        for t in self.ids:
+            t = t.removesuffix(self.end) or t
+            if len(t) >= PREFIX and self.reach.get(t[:PREFIX], 0) < len(t):
+                self.reach[t[:PREFIX]] = len(t)
 
     def add_merge(self, u: int, v: int, w: int, rank: int) -> None:
         state = self.state_of.get(u, 0)
@@ -72,17 +78,30 @@ class Automaton:
         self.owner[target] = -1  # shared from now on: the next removal there needs a copy
 
     def has_arc(self, state: int, token: int) -> bool:
-        made = NEVER - 1
-        while True:
-            at, before = state, made
-            while at >= 0:
-                if self.removed[at].get(token, NEVER) <= before:
+        for prefix, made in self.prefixes(token):
+            for removed, copied in self.removals(state):
+                rank = removed.get(prefix)
+                if rank is not None and rank <= made and rank <= copied:
                     return False
-                before = min(before, self.copied[at])
-                at = self.source[at]
-            if token not in self.parts:
-                return True
+        return True
+
+    def prefixes(self, token: int) -> list[tuple[int, int]]:
+        """The token, its first part, the first part of that and so on, each with the rank at which the one before was made."""
+        out, made = [(token, NEVER)], NEVER
+        while token in self.parts:
             token, made = self.parts[token]
+            out.append((token, made))
+        return out
+
+    def removals(self, state: int) -> list[tuple[dict[int, int], int]]:
+        """The removals at a state and at the states it was copied from, each with the rank up to which they count."""
+        out, copied = [], NEVER
+        while state >= 0:
+            if self.removed[state]:
+                out.append((self.removed[state], copied))
+            copied = min(copied, self.copied[state])
+            state = self.source[state]
+        return out
 
     def step(self, last: int, token: int) -> bool:
         """Whether ``token`` may follow ``last``; kept in a table of bounded size."""
@@ -101,15 +120,15 @@ class Automaton:
         else:
             letters = byte_letters()
             symbols = "".join([letters[b] for b in word.encode("utf-8", "surrogateescape")])
-        n, ids, table = len(symbols), self.ids, self.table
+        n, ids, table, reach = len(symbols), self.ids, self.table, self.reach
         whole = ids.get(symbols + self.end)
         if whole is not None and self.alone(whole):
             return [whole]
         walked, cuts, dead, at = [], [0], set(), 0
         while at < n:
             before = walked[-1] << 20 if at else 0
-            for end in range(min(n, at + self.longest), at, -1):
-                if end in dead:
+            for end in range(min(n, at + reach.get(symbols[at : at + PREFIX], PREFIX - 1)), at, -1):
+                if dead and end in dead:
                     continue
                 token = ids.get(symbols[at:end] if end < n else symbols[at:] + self.end)
                 if token is None:
@@ -143,11 +162,12 @@ class Codec:
 
     def __init__(self, path: str):
         self.splitter, self.automaton = Splitter(path), Automaton(path)
+        self.decimal = {i: str(i) for i in self.automaton.labels}
         self.cache = Cache(self.entry)
 
     def entry(self, word: str) -> tuple[int, str, str]:
         ids = self.automaton.walk(word)
-        return len(ids), " ".join(map(str, ids)), self.emit(ids)
+        return len(ids), " ".join([self.decimal[i] for i in ids]), self.emit(ids)
 
     def emit(self, ids: list[int]) -> str:
         """The labels of the arcs walked, as the file's decoder joins them (it names none: by spaces)."""

@@ -12,11 +12,20 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
-import regex
 from tokenizers import Tokenizer
 
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+
+
+def latin_pattern() -> re.Pattern:
+    """The same for characters below U+0250 in lower case: letters, numbers and white space by their Unicode categories."""
+    known = sorted({c for i in range(0x250) for c in chr(i).lower()})
+    kinds = {k: "".join(re.escape(c) for c in known if unicodedata.category(c)[0] == k) for k in "LN"}
+    space = "\\t-\\r \x85\xa0"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{space}{kinds['L']}{kinds['N']}]+")
+
+
+LATIN = latin_pattern()
 BEYOND = re.compile("[^\x00-ɏ]")
 
 

@@ -9,7 +9,7 @@ from lumenqa.llm.entry import op8_automaton_bpe, tokenizer_path
 
 ODD = [
     "", "  \n", "<|endoftext|> a<|startoftext|>B", "ΣΑΣ ΟΔΟΣ Σ", "İstanbul Iı", "é café", "日本語 テスト 123", "👩‍👩‍👧 emoji!! 😀😀", "don't I'LL we've 'S",
-    "\x1c\x1d a\x1eb \x85 c\xa0d", "ǅ ǆ ﬀ ß ẞ", "½ ² ªº Ⅷ ①", "a​b ﻿ x", "<|endoftext", "a_b__c", "l" * 3001, "ab" * 2000, "\x00\x01a\x7f", "llllar aaaaa !!!!!!!",
+    "\x1c\x1d a\x1eb \x85 c\xa0d", "ǅ ǆ ﬀ ß ẞ", "½ ² ªº Ⅷ ①", "a​b ﻿ x", "<|endoftext", "a_b__c", "l" * 3001, "ab" * 2000, "\x00\x01a\x7f", "llllar aaaaa !!!!!!!", "aȺb Ⱦ1 Ɐ", "".join(map(chr, range(1, 0x250))),
 ]
 
 
