@@ -2,8 +2,8 @@
 
 Writing goes in three steps. Texts are range-partitioned and sorted by doc_id, tokenised, and kept as 16-bit ids
 with their place in the partition; the ids are counted on the way. The counts over the whole corpus become one
-static table (frequencies that add up to 2^SCALE, one at least for each id that occurs). Then each partition is cut
-into blocks of whole documents, and each block is coded alone: its tokens are dealt to LANES interleaved coders with 64-bit
+static table (frequencies that add up to 2^SCALE, one at least for each id that occurs). Then the documents are cut,
+where they lie, into blocks of whole documents, and each block is coded alone: its tokens are dealt to LANES interleaved coders with 64-bit
 states and 32-bit words, so coding and decoding run as vectors.
 
 A block row holds everything to decode it without any other: the documents and their lengths, the global number of
@@ -15,6 +15,7 @@ files, which every store that Spark can write takes.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,12 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenqa.llm.presplit import Cache, Splitter
-from lumenqa.llm.workspace import Workspace, text_slices
+from lumenqa.llm import words as W
+from lumenqa.llm.presplit import Cache, Splitter, byte_letters
+from lumenqa.llm.templates import lowered
+from lumenqa.llm.workspace import Workspace, text_bytes, text_slices
 
-SCALE = 22
-LANES, CHECKPOINT, BLOCK = 512, 128, 1 << 18
+SCALE = 20
+LANES, CHECKPOINT, BLOCK = 4096, 128, 1 << 20
 LOW = 1 << 31
+IDS = ["part", "place", "doc_id", "before", "n", "ids", "counts"]
 U = np.uint64
 
 
@@ -118,26 +122,75 @@ def decode_block(coded: bytes, final: bytes, n: int, table: Table, slots: np.nda
     return decode_steps(stream, at, state, n, first, min(CHECKPOINT, total - first), table, slots)
 
 
+#: Kinds of bytes in plain texts: white space, letters, digits, others.
+KIND = np.full(256, 3, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = 0
+KIND[[*range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
+
+
+def not_plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts with an apostrophe, a ``<``, or any character but ASCII and the letters U+00C0 to U+00FF."""
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+    inner = (data >= 0x80) & (data <= 0xBF)
+    odd = (data == 0x27) | (data == 0x3C) | (data == 0xC2) | (data >= 0xC4) | (inner & ((before != 0xC3) | (data == 0x97) | (data == 0xB7)))
+    sums = np.concatenate([[0], np.cumsum(odd)])
+    return sums[offsets[1:]] > sums[offsets[:-1]]
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, called for the words that the cache does not hold."""
+    """Ids by the tokenizers library: its model is asked once for each pre-split word as long as the cache holds it.
+
+    Plain texts are split all at once: runs of letters, single digits, runs of others. Each distinct word of a slice is
+    looked up once, and the ids are gathered for all. Other texts go through the splitter one by one.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 250_000):
         self.splitter = Splitter(path)
-        self.splitter.library.no_truncation()
-        self.splitter.library.no_padding()
-        self.cache = Cache(self.ids)
+        self.model = self.splitter.library.model
+        self.letters = byte_letters()
+        self.cache = Cache(self.ids, limit)
+        self.raw_cache = Cache(lambda raw: self.ids(raw.decode()), limit)
 
     def ids(self, word: str) -> bytes:
-        return np.array(self.splitter.library.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.letters[b] for b in word.encode("utf-8", "surrogateescape")])
+        return array("H", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        out, cache = [], self.cache
+        out, get = [], self.cache.__getitem__
         for mark, words in self.splitter.stretches(text):
             if mark is not None:
-                out.append(np.uint16(self.splitter.special[mark]).tobytes())
-            out += [cache[w] for w in words]
+                out.append(array("H", [self.splitter.special[mark]]).tobytes())
+            out.extend(map(get, words))
         return b"".join(out)
 
+    def encode_slice(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text of a column."""
+        data, offsets = text_bytes(column)
+        odd = not_plain(data, offsets)
+        low = lowered(data)
+        kind = KIND[low]
+        begins = np.ones(len(low), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begins[offsets[:-1][offsets[:-1] < len(low)]] = True
+        places = np.flatnonzero(begins)
+        after = np.append(places[1:], len(low))
+        word = kind[places] != 0
+        starts, ends = places[word], after[word]
+        hashes = W.mix(W.stretch_hashes(low.astype(U) + U(1), starts, ends, W.BYTE_BASE) + (ends - starts).astype(U) * U(0x632BE59BD9B4E019))
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw, get = low.tobytes(), self.raw_cache.__getitem__
+        entries = [get(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        sizes = np.array([len(e) >> 1 for e in entries], np.int64)
+        own = sizes[back]
+        done = np.cumsum(own)
+        flat = np.frombuffer(b"".join(entries), np.uint16)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - (done - own), own) + np.arange(int(own.sum()))].tobytes()
+        cut = np.concatenate([[0], done])[np.searchsorted(starts, offsets)] * 2
+        texts = column.to_pylist() if odd.any() else None
+        return [self.encode(texts[d] or "") if odd[d] else ids[cut[d] : cut[d + 1]] for d in range(len(odd))]
+
 
 @cache
 def encoder(path: str) -> LibraryEncoder:
@@ -145,23 +198,31 @@ def encoder(path: str) -> LibraryEncoder:
 
 
 def tokenised(path: str, end_id: int):
-    """Sorted texts of a partition to their ids: (part, place, doc_id, before, n, ids); before counts ids in the partition."""
+    """Sorted texts of a partition to their ids: (part, place, doc_id, before, n, ids); before counts ids in the partition.
+
+    A last row without ids holds the counts of all ids of the partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, place, before = encoder(path), TaskContext.get().partitionId(), 0, 0
+        coder, part, place, before, total = encoder(path), TaskContext.get().partitionId(), 0, 0, np.zeros(1 << 16, np.int64)
         end = np.uint16(end_id).tobytes()
         for batch in batches:
-            for piece in text_slices(batch, "text"):
-                ids = [coder.encode(t or "") + end for t in piece.column("text").to_pylist()]
+            for piece in text_slices(batch, "text", 1_500_000):
+                ids = [x + end for x in coder.encode_slice(piece.column("text"))]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(ids), part, np.int32)), pa.array(place + np.arange(len(ids), dtype=np.int64)), piece.column("doc_id"),
-                        pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary()),
+                        pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()),
                     ],
-                    names=["part", "place", "doc_id", "before", "n", "ids"],
+                    names=IDS,
                 )
                 place, before = place + len(ids), before + int(n.sum())
+                total += np.bincount(np.frombuffer(b"".join(ids), np.uint16), minlength=1 << 16)
+        if place:
+            last = [[part], [place], [None], [before], [0], [None], [total.tobytes()]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(last, kinds, strict=True)], names=IDS)
 
     return run
 
@@ -169,44 +230,48 @@ def tokenised(path: str, end_id: int):
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column("ids"):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), np.uint16), minlength=1 << 16)
+        for row in batch.column("counts").to_pylist():
+            total += np.frombuffer(row, np.int64)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
 
 BLOCK_DDL = (
-    "part int, block int, first long, n long, doc_ids array<long>, lengths array<long>, coded binary, states binary, "
+    "part int, place long, first long, n long, doc_ids array<long>, lengths array<long>, coded binary, states binary, "
     "places array<long>, saved array<binary>, ids_crc32 long, coded_crc32 long"
 )
 
 
 def blocks_of(table, offsets):
-    """Arrow function: the rows of a partition's documents, in order, to coded blocks of whole documents."""
+    """Arrow function: documents as they lie in the id files to coded blocks of whole documents that follow each other.
+
+    A file's rows are in order, and a file may be read in several splits, so no shuffle is needed: a block ends where
+    the next row is not the next document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, number = table.value, np.zeros(1 << 16, np.int64)
         number[shared.ids] = np.arange(len(shared.ids))
-        held, size, block, part = [], 0, 0, None
+        held, size, last = [], 0, None
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(r[3] for r in held), np.uint16)
             coded, final, places, saved = encode_block(number[ids], shared)
+            part, place = held[0][4:]
             row = {
-                "part": part, "block": block, "first": offsets.value[part] + held[0][1], "n": len(ids), "doc_ids": [r[0] for r in held],
+                "part": part, "place": place, "first": offsets.value[part] + held[0][1], "n": len(ids), "doc_ids": [r[0] for r in held],
                 "lengths": [r[2] for r in held], "coded": coded, "states": final, "places": places, "saved": saved,
-                "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "coded_crc32": zlib.crc32(coded),
+                "ids_crc32": zlib.crc32(ids.tobytes()), "coded_crc32": zlib.crc32(coded),
             }
             return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
 
         for batch in batches:
-            for p, _, d, before, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (size + n > BLOCK or p != part):
+            for part, place, d, before, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (size + n > BLOCK or (part, place - 1) != last):
                     yield flush()
-                    held, size, block = [], 0, block + 1 if p == part else 0
-                part = p
-                held.append((d, before, n, ids))
-                size += n
+                    held, size = [], 0
+                held.append((d, before, n, ids, part, place))
+                size, last = size + n, (part, place)
         if held:
             yield flush()
 
@@ -214,7 +279,7 @@ def blocks_of(table, offsets):
 
 
 BLOCK_SCHEMA = pa.schema(
-    [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+    [("part", pa.int32()), ("place", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
      ("coded", pa.binary()), ("states", pa.binary()), ("places", pa.list_(pa.int64())), ("saved", pa.list_(pa.binary())), ("ids_crc32", pa.int64()), ("coded_crc32", pa.int64())]
 )
 
@@ -230,16 +295,15 @@ def write_tokens(docs: DataFrame, work: Workspace, path: str, end_id: int = 1, p
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
     ordered = slim.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
-    ids = work.table(ordered.mapInArrow(tokenised(path, end_id), "part int, place long, doc_id long, before long, n long, ids binary"), "ids")
-    counts = ids.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row an id of the vocabulary
+    ids = work.table(ordered.mapInArrow(tokenised(path, end_id), "part int, place long, doc_id long, before long, n long, ids binary, counts binary"), "ids")
+    counts = ids.select("counts").where("counts IS NOT NULL").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row an id of the vocabulary
     table = Table.of_counts(counts["id"].to_numpy(), counts["n"].to_numpy())
     per_part = {r["part"]: r["n"] for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
     offsets, at = {}, 0
     for p in sorted(per_part):
         offsets[p], at = at, at + per_part[p]
     shared, starts = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(offsets)
-    again = ids.repartition(parts, "part").sortWithinPartitions("part", "place")
-    blocks = work.table(again.mapInArrow(blocks_of(shared, starts), BLOCK_DDL), "blocks")
+    blocks = work.table(ids.where("ids IS NOT NULL").drop("counts").mapInArrow(blocks_of(shared, starts), BLOCK_DDL), "blocks")
     work.forget("ids")
     return blocks, table
 
@@ -255,10 +319,11 @@ def read_tokens(blocks: DataFrame, table: Table, with_ids: bool = False) -> Data
         for batch in batches:
             for row in (r for at in range(0, batch.num_rows, 8) for r in batch.slice(at, 8).to_pylist()):
                 if zlib.crc32(row["coded"]) != row["coded_crc32"]:
-                    raise ValueError(f"block {row['part']}/{row['block']}: coded bytes are damaged")
-                ids = known.ids[decode_block(row["coded"], row["states"], row["n"], known, slots)].astype("<u4")
-                if zlib.crc32(ids.tobytes()) != row["ids_crc32"]:
-                    raise ValueError(f"block {row['part']}/{row['block']}: ids are damaged")
+                    raise ValueError(f"block {row['part']}/{row['place']}: coded bytes are damaged")
+                short = known.ids.astype(np.uint16)[decode_block(row["coded"], row["states"], row["n"], known, slots)]
+                if zlib.crc32(short.tobytes()) != row["ids_crc32"]:
+                    raise ValueError(f"block {row['part']}/{row['place']}: ids are damaged")
+                ids = short.astype("<u4")
                 n = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(n)
                 cut = [ids[e - m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
@@ -269,4 +334,4 @@ def read_tokens(blocks: DataFrame, table: Table, with_ids: bool = False) -> Data
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return blocks.select("part", "block", "first", "n", "doc_ids", "lengths", "coded", "states", "ids_crc32", "coded_crc32").mapInArrow(run, ddl)
+    return blocks.select("part", "place", "first", "n", "doc_ids", "lengths", "coded", "states", "ids_crc32", "coded_crc32").mapInArrow(run, ddl)
