@@ -75,7 +75,7 @@ class Splitter:
 class Cache(dict):
     """Entries by word, made on demand; of two generations the older goes when the younger is full."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = 80_000):
+    def __init__(self, make: Callable[[str], object], limit: int = 120_000):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
