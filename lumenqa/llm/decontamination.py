@@ -3,9 +3,12 @@
 Benchmark items and documents are reduced to templates (see templates), so a question whose numbers, units or
 names were replaced still matches. Windows of ``window`` template tokens are hashed on both sides; a bit table
 of the items' windows (at most 128 MB, whatever the benchmark) spares the shuffle of windows that cannot match,
-and the rest meets the items' windows in a hash join. A document holds an item when the joined windows cover at
-least ``coverage`` of the item's windows and its slots are consistent: one value of the item always stands
-for one value of the document. Equal values everywhere mean ``verbatim``, else ``reparameterised``.
+and the rest meets the items' windows in a hash join. A document may hold several copies of an item, so joined
+windows are grouped by alignment (place in the document less place in the item): windows of one alignment, of
+alignments less than half an item apart (copies with words put in or left out; two grids of buckets), and all
+together. A document holds an item when the windows of one group cover at least ``coverage`` of the item's windows
+and its slots are consistent: one value of the item always stands for one value of the document. The group that
+covers most is told; equal values everywhere in it mean ``verbatim``, else ``reparameterised``.
 
 Items of fewer tokens than a window are one window of their own length; below ``least`` tokens an item says too
 little and matches nothing. Windows with fewer literals than half their tokens do not count, unless an item
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenqa.llm import bitset, templates
@@ -66,9 +69,9 @@ def item_windows(window: int, least: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(of)), pa.array(np.full(len(pick), size, np.int32)), pa.array((at[pick] - t.first[of]).astype(np.int32)),
-                            pa.array(h[pick]), pa.array(slots_in(t, at[pick], size), pa.list_(pa.int64())),
+                            pa.array(counts[of].astype(np.int32)), pa.array(h[pick]), pa.array(slots_in(t, at[pick], size), pa.list_(pa.int64())),
                         ],
-                        names=["item_id", "size", "place", "h", "slots"],
+                        names=["item_id", "size", "place", "tokens", "h", "slots"],
                     )
 
     return run
@@ -91,13 +94,21 @@ def document_windows(bits, sizes: list[int]):
                         continue
                     of = np.searchsorted(t.first, at[pick], side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(d[of]), pa.array(k[of]), pa.array(h[pick]), pa.array(slots_in(t, at[pick], size), pa.list_(pa.int64()))],
-                        names=["d", "k", "h", "found"],
+                        [pa.array(d[of]), pa.array(k[of]), pa.array(at[pick] - t.first[of]), pa.array(h[pick]), pa.array(slots_in(t, at[pick], size), pa.list_(pa.int64()))],
+                        names=["d", "k", "at", "h", "found"],
                     )
 
     return run
 
 
+def copies_of(aligned: Column, tokens: Column) -> Column:
+    """The groups a window belongs to: its alignment, that in buckets of half an item on two grids, and all windows."""
+    wide = F.greatest(F.lit(2), F.floor(tokens / 2))
+    shift = F.floor(wide / 2)
+    kinds = (aligned, F.floor(aligned / wide), F.floor((aligned + shift) / wide), F.lit(0))
+    return F.array(*(F.struct(F.lit(i).alias("grid"), of.cast("long").alias("bucket")) for i, of in enumerate(kinds)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 4, coverage: float = 0.25) -> DataFrame:
     """(d, k, item_id, coverage, kind) for each document that holds a benchmark item; d and k as in rowkeys."""
     spark = docs.sparkSession
@@ -105,25 +116,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 4
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     id_type = asked.schema["item_id"].dataType.simpleString()
-    items = asked.mapInArrow(item_windows(window, least), f"item_id {id_type}, size int, place int, h long, slots array<long>").distinct().checkpoint()
+    items = asked.mapInArrow(item_windows(window, least), f"item_id {id_type}, size int, place int, tokens int, h long, slots array<long>").distinct().checkpoint()
     of_item = items.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` values
     bits = spark.sparkContext.broadcast(bitset.build(items.select(F.col("h").alias("key")), items.count()))
-    found = slim.mapInArrow(document_windows(bits, sizes), "d long, k long, h long, found array<long>")
+    found = slim.mapInArrow(document_windows(bits, sizes), "d long, k long, at long, h long, found array<long>")
     met = found.join(items, "h").where(F.size("found") == F.size("slots"))
-    # one row a document, item and window place; a place met twice keeps the reading nearest to the item's values
-    place = met.groupBy("d", "k", "item_id", "place").agg(F.min(F.struct((F.col("found") != F.col("slots")).alias("differs"), "found", "slots")).alias("m"))
+    near = met.withColumn("copy", F.explode(copies_of(F.col("at") - F.col("place"), F.col("tokens"))))
+    copy = ["d", "k", "item_id", "copy"]
+    # one row a copy and window place; a place met twice in a group keeps the reading nearest to the item's values
+    place = near.groupBy(*copy, "place").agg(F.min(F.struct((F.col("found") != F.col("slots")).alias("differs"), "found", "slots")).alias("m"))
     pairs = F.arrays_zip(F.col("m.slots").alias("was"), F.col("m.found").alias("now"))
     told = (
-        place.groupBy("d", "k", "item_id")
+        place.groupBy(*copy)
         .agg(F.count(F.lit(1)).alias("n"), F.max("m.differs").alias("differs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
         .join(of_item, "item_id")
         .where(F.col("n") >= coverage * F.col("windows"))
         .where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"]))))
+        .groupBy("d", "k", "item_id")
+        .agg(F.max(F.struct((F.col("n") / F.col("windows")).alias("coverage"), (~F.col("differs")).alias("same"))).alias("best"))
     )
-    return told.select(
-        "d", "k", "item_id", (F.col("n") / F.col("windows")).alias("coverage"), F.when(F.col("differs"), "reparameterised").otherwise("verbatim").alias("kind")
-    )
+    return told.select("d", "k", "item_id", "best.coverage", F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -30,3 +30,18 @@ def test_short_items_and_empty_tables(spark):
     b = spark.createDataFrame([(3, ITEM, "q")], "item_id long, text string, doc_id string")
     assert decontamination.contaminated(d, b).count() == 1
     assert decontamination.without_leaks(d, b).columns == d.columns
+
+
+def test_copies_of_one_item_are_judged_apart(spark):
+    names, filler = [("Maria", "Tom"), ("Laura", "Jim"), ("Clara", "Max"), ("Olga", "Sam")], FILLER * 2
+    text = "If {} buys {} apples and gives {} apples to {} after {} hours, how many apples does {} have left over?"
+    copy = lambda i: text.format(names[i % 4][0], 40 + i, 7 + i, names[i % 4][1], 20 + i, names[i % 4][0])
+    docs = [(i, copy(i) + " " + filler + copy(i + 1) + " " + copy(i + 2)) for i in range(20)]
+    docs += [(21, CROSSED + " " + filler + CROSSED.replace("40", "50")), (22, CROSSED + " " + ITEM)]
+    # a longer item with a word put in every fourteen: no alignment alone covers a quarter
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 5 else "{}" for i in range(70)]
+    edited = lambda k: " ".join(w.format(100 * k + i) + " extra" * (i % 14 == 13) for i, w in enumerate(words))
+    docs += [(30 + i, edited(i + 2) + " " + filler + edited(i + 3)) for i in range(5)]
+    out, left = run(spark, docs, [(10, ITEM), (11, " ".join(w.format(i) for i, w in enumerate(words)))])
+    assert out == [*((i, 10, "reparameterised") for i in range(20)), (22, 10, "verbatim"), *((30 + i, 11, "reparameterised") for i in range(5))]
+    assert left == ["21"]
