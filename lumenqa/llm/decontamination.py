@@ -10,8 +10,10 @@ together. A document holds an item when the windows of one group cover at least
 and its slots are consistent: one value of the item always stands for one value of the document. The group that
 covers most is told; equal values everywhere in it mean ``verbatim``, else ``reparameterised``.
 
-Items of fewer tokens than a window are one window of their own length; below ``least`` tokens an item says too
-little and matches nothing. Windows with fewer literals than half their tokens do not count, unless an item
+Items of fewer tokens than a window are one window of their own length; below ``least`` tokens an item matches its
+own words alone, lower-cased, in their order. The kind of an item's first token depends on what stands before it in
+a document, so the window it begins is hashed in each reading the token can have there; read as a name or unit it
+stands for itself alone. Windows with fewer literals than half their tokens do not count, unless an item
 has no others.
 """
 
@@ -50,6 +52,23 @@ def slots_in(t: templates.Templates, at: np.ndarray, size: int) -> list[np.ndarr
     return [values[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
+def exact_windows(t: templates.Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start places, hashes) of the windows of ``size`` tokens as words, without slots."""
+    at = W.window_places(t.first, size)
+    return at, W.mix(W.window_hashes(t.values, at, size, W.WINDOW_BASES[0]) + U(size)).view(np.int64) if len(at) else np.zeros(0, np.int64)
+
+
+def begun_as(t: templates.Templates, kind: int) -> templates.Templates:
+    """``t`` with the first token of each text, where it is a literal that can be of this kind inside a text, of it."""
+    head = t.first[:-1][np.diff(t.first) > 0]
+    head = head[t.kinds[head] == templates.LITERAL]
+    if kind == templates.UNIT:
+        head = head[np.isin(t.values[head], templates.unit_hashes())]
+    keys, kinds = t.keys.copy(), t.kinds.copy()
+    kinds[head], keys[head] = kind, templates.slot_keys()[kind]
+    return templates.Templates(t.first, keys, t.values, kinds)
+
+
 def item_windows(window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +76,22 @@ def item_windows(window: int, least: int):
                 t = templates.canonical(*text_bytes(part.column("text")))
                 counts = np.diff(t.first)
                 ids = part.column("item_id")
+
+                def rows(of, size, at, h, slots, fixed):
+                    return pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(of)), pa.array(np.full(len(of), size, np.int32)), pa.array((at - t.first[of]).astype(np.int32)),
+                            pa.array(counts[of].astype(np.int32)), pa.array(h), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(of), fixed)),
+                        ],
+                        names=["item_id", "size", "place", "tokens", "h", "slots", "fixed"],
+                    )
+
+                for size in range(1, least):
+                    at, h = exact_windows(t, size)
+                    of = np.searchsorted(t.first, at, side="right") - 1
+                    pick = np.flatnonzero(counts[of] == size)
+                    yield rows(of[pick], size, at[pick], h[pick], [[]] * len(pick), False)
+                others = [begun_as(t, kind) for kind in (templates.NAME, templates.UNIT)]
                 for size in range(least, window + 1):
                     use = counts == size if size < window else counts >= window
                     at, h, literals = windows(t, size)
@@ -65,19 +100,15 @@ def item_windows(window: int, least: int):
                     any_rich = np.zeros(len(counts), bool)
                     any_rich[doc[rich]] = True
                     pick = np.flatnonzero(use[doc] & (rich | ~any_rich[doc]))
-                    of = doc[pick]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(of)), pa.array(np.full(len(pick), size, np.int32)), pa.array((at[pick] - t.first[of]).astype(np.int32)),
-                            pa.array(counts[of].astype(np.int32)), pa.array(h[pick]), pa.array(slots_in(t, at[pick], size), pa.list_(pa.int64())),
-                        ],
-                        names=["item_id", "size", "place", "tokens", "h", "slots"],
-                    )
+                    yield rows(doc[pick], size, at[pick], h[pick], slots_in(t, at[pick], size), False)
+                    for other in others:
+                        begun = pick[(at[pick] == t.first[doc[pick]]) & (other.kinds[at[pick]] != t.kinds[at[pick]])]
+                        yield rows(doc[begun], size, at[begun], windows(other, size)[1][begun], slots_in(other, at[begun], size), True)
 
     return run
 
 
-def document_windows(bits, sizes: list[int]):
+def document_windows(bits, sizes: list[int], least: int):
     """Windows of documents whose hash the items' bit table has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +119,14 @@ def document_windows(bits, sizes: list[int]):
                 t = templates.canonical(data, offsets)
                 d, k = keys_of(part, data, offsets)
                 for size in sizes:
-                    at, h, _ = windows(t, size)
+                    at, h = exact_windows(t, size) if size < least else windows(t, size)[:2]
                     pick = np.flatnonzero(bitset.hits(table, h)) if len(h) else at
                     if not len(pick):
                         continue
                     of = np.searchsorted(t.first, at[pick], side="right") - 1
+                    slots = slots_in(t, at[pick], size) if size >= least else [[]] * len(pick)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(d[of]), pa.array(k[of]), pa.array(at[pick] - t.first[of]), pa.array(h[pick]), pa.array(slots_in(t, at[pick], size), pa.list_(pa.int64()))],
+                        [pa.array(d[of]), pa.array(k[of]), pa.array(at[pick] - t.first[of]), pa.array(h[pick]), pa.array(slots, pa.list_(pa.int64()))],
                         names=["d", "k", "at", "h", "found"],
                     )
 
@@ -116,12 +148,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 4
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     id_type = asked.schema["item_id"].dataType.simpleString()
-    items = asked.mapInArrow(item_windows(window, least), f"item_id {id_type}, size int, place int, tokens int, h long, slots array<long>").distinct().checkpoint()
+    items = asked.mapInArrow(item_windows(window, least), f"item_id {id_type}, size int, place int, tokens int, h long, slots array<long>, fixed boolean").distinct().checkpoint()
     of_item = items.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` values
     bits = spark.sparkContext.broadcast(bitset.build(items.select(F.col("h").alias("key")), items.count()))
-    found = slim.mapInArrow(document_windows(bits, sizes), "d long, k long, at long, h long, found array<long>")
-    met = found.join(items, "h").where(F.size("found") == F.size("slots"))
+    found = slim.mapInArrow(document_windows(bits, sizes, least), "d long, k long, at long, h long, found array<long>")
+    met = found.join(items, "h").where(F.size("found") == F.size("slots")).where(~F.col("fixed") | (F.get("found", F.lit(0)) == F.get("slots", F.lit(0))))
     near = met.withColumn("copy", F.explode(copies_of(F.col("at") - F.col("place"), F.col("tokens"))))
     copy = ["d", "k", "item_id", "copy"]
     # one row a copy and window place; a place met twice in a group keeps the reading nearest to the item's values

@@ -55,6 +55,11 @@ def unit_hashes() -> np.ndarray:
     return np.unique(W.split(data, np.array([0, len(data)])).hashes)
 
 
+def slot_keys() -> np.ndarray:
+    """The template hash of each kind of slot; that of LITERAL stands for nothing."""
+    return W.mix(np.arange(1, 5, dtype=U) * U(0xA0761D6478BD642F))
+
+
 def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     low = lowered(data)
     marks = data.copy()
@@ -84,5 +89,4 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
         capitals = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
         only = capitals[ends] - capitals[starts] - ((data[starts] >= 65) & (data[starts] <= 90)) == 0
         kinds[capital & only & same_text & (gap == 0) & (ends - starts > 1) & (kinds == 0)] = NAME
-    slots = W.mix(np.arange(1, 5, dtype=U) * U(0xA0761D6478BD642F))
-    return Templates(shape.first, np.where(kinds == LITERAL, values, slots[kinds]), values, kinds)
+    return Templates(shape.first, np.where(kinds == LITERAL, values, slot_keys()[kinds]), values, kinds)

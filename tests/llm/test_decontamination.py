@@ -45,3 +45,14 @@ def test_copies_of_one_item_are_judged_apart(spark):
     out, left = run(spark, docs, [(10, ITEM), (11, " ".join(w.format(i) for i, w in enumerate(words)))])
     assert out == [*((i, 10, "reparameterised") for i in range(20)), (22, 10, "verbatim"), *((30 + i, 11, "reparameterised") for i in range(5))]
     assert left == ["21"]
+
+
+def test_short_items_inside_sentences(spark):
+    items = [(1, "What is the capital of France?"), (2, "Minutes of the last meeting"), (3, "Blue Zebra"), (4, "quagga"), (5, ITEM)]
+    docs = [(1, 'He then asked "What is the capital of France?" and left'), (2, "then, he said, what is the capital of France"), (3, "we know that Paris is the capital of France"),
+            (4, "after 12 minutes of the last meeting"), (5, "he saw (a blue zebra) there"), (6, "a blue striped zebra"), (7, "one Quagga. more"), (8, "What is the capital of Spain"),
+            (9, 'so "What is the capital of Spain" it was'), (10, "he said, " + " ".join(ITEM.split()[:8])), (11, "he read out loud " + CHANGED), (12, "quaggas of the last meeting minutes"),
+            (13, "so Blue Zebra and Blue Zebra")]
+    out, left = run(spark, docs, items)
+    assert out == [(1, 1, "verbatim"), (2, 1, "verbatim"), (4, 2, "verbatim"), (5, 3, "verbatim"), (7, 4, "verbatim"), (8, 1, "reparameterised"), (9, 1, "reparameterised"), (11, 5, "reparameterised"), (13, 3, "verbatim")]
+    assert left == ["10", "12", "3", "6"]
