@@ -57,11 +57,15 @@ votes AS (SELECT l_orderkey AS qid, 'judge' || CAST(l_suppkey % 3 AS VARCHAR) AS
 
 
 def runs(t) -> DataFrame:
-    """Five synthetic runs of vector neighbours: run, qid, docid, rank, score. Ranks come from integer arithmetic."""
+    """Five synthetic runs of vector neighbours: run, qid, docid, rank, score. Ranks come from integer arithmetic.
+
+    Docids are spread over as many ids as the table has rows; RUNS spreads them over 500, the rows of the small tables.
+    """
     e = t("embeddings").select(F.col("vec_id").cast("long").alias("vec_id"))
     asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"))
     spread = asked.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    docid = (F.col("qid") * 7 + F.col("j") * (F.col("r") * 2 + 3) + F.col("r")) % 500
+    spread = spread.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))))
+    docid = (F.col("qid") * 7 + F.col("j") * (F.col("r") * 2 + 3) + F.col("r")) % F.col("n")
     return spread.select(
         F.concat(F.lit("run"), F.col("r").cast("string")).alias("run"), "qid", docid.cast("long").alias("docid"), F.col("j").alias("rank"), (1.0 / F.col("j")).alias("score")
     )
@@ -73,10 +77,10 @@ runs AS (SELECT 'run' || CAST(r AS VARCHAR) AS run, vec_id AS qid, CAST((vec_id
 
 
 def run_qrels(t) -> DataFrame:
-    """Relevant: vectors of the query's label, itself excluded, with vec_id below 500."""
+    """Relevant: vectors of the query's label, itself excluded; RUN_QRELS keeps those below 500 alone."""
     e = t("embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "label")
     asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "label")
-    return asked.join(e.where("vec_id < 500"), "label").where("qid <> vec_id").select("qid", F.col("vec_id").alias("docid"))
+    return asked.join(e, "label").where("qid <> vec_id").select("qid", F.col("vec_id").alias("docid"))
 
 
 RUN_QRELS = """

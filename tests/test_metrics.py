@@ -153,3 +153,13 @@ def test_wins_and_resume(spark):
     work = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     reuse, todo = curation.overlay(work, done, "k", F.col("status") == "ok")
     assert [r.k for r in reuse.collect()] == ["a"] and sorted(r.k for r in todo.collect()) == ["b", "c"]
+
+
+def test_runs_and_relevance_reach_every_vector(spark):
+    from lumenqa.plans import views as V
+
+    table = lambda name: spark.range(2000).selectExpr("id AS vec_id", "CAST(id % 4 AS INT) AS label")
+    asked = range(0, 2000, 25)
+    runs = {(r.run, r.qid, r["rank"], r.docid) for r in V.runs(table).collect()}
+    assert runs == {(f"run{r}", q, j, (q * 7 + j * (r * 2 + 3) + r) % 2000) for q in asked for j in range(1, 21) for r in range(5)}
+    assert {tuple(r) for r in V.run_qrels(table).select("qid", "docid").collect()} == {(q, d) for q in asked for d in range(q % 4, 2000, 4) if d != q}
