@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH_LEVELS = 2
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and a final dot; null where the url has none."""
@@ -27,7 +25,7 @@ def path_of(url: Column) -> Column:
 
 
 def patterns_of(url: Column) -> Column:
-    """Host suffixes of two labels or more, and the host with up to PATH_LEVELS path segments."""
+    """Host suffixes of two labels or more, and the host with each leading path segment, one up to all."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     suffixes = F.transform(
@@ -35,10 +33,7 @@ def patterns_of(url: Column) -> Column:
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    paths = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(PATH_LEVELS)), lambda i: i <= F.size(segments)),
-        lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")),
-    )
+    paths = F.transform(segments, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i + 1), "/")))
     return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, paths)))
 
 

@@ -33,3 +33,10 @@ def test_entries_hold_from_their_date_to_the_next(spark):
 def test_empty_tables(spark):
     assert judge(spark, [(1, "http://a.b/c", D(2024, 1, 1))], []) == [("1", "none", None)]
     assert judge(spark, [], [(1, "a.b", "block", D(2024, 1, 1))]) == []
+
+
+def test_every_path_segment_is_asked_for(spark):
+    deep = "a.com/" + "/".join("bcdefgh")
+    entries = [(1, "a.com/b", "block", D(2024, 1, 1)), (2, "a.com/b/c/d", "allow", D(2024, 1, 1)), (3, deep, "block", D(2024, 1, 1))]
+    captures = [(1, "http://a.com/b/c", D(2024, 1, 2)), (2, "http://a.com/b/c/d/x?q", D(2024, 1, 2)), (3, f"http://{deep}/i", D(2024, 1, 2)), (4, "http://a.com", D(2024, 1, 2))]
+    assert judge(spark, captures, entries) == [("1", "block", "a.com/b"), ("2", "allow", "a.com/b/c/d"), ("3", "block", deep), ("4", "none", None)]
