@@ -228,8 +228,7 @@ def t6_n22(t):
 
 @query("t7_fallback_spans")
 def t7(t):
-    x = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Intro here. An authorised firm must "), F.substring("text", 1, 300))).otherwise(F.col("text"))
-    return t("documents").select("doc_id", T.fallback_span(x).alias("s")).select("doc_id", "s.*")
+    return t("documents").select("doc_id", T.fallback_span(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 TAGGED = "concat(answer, ' [#SRC:', CAST(conv_id AS VARCHAR), ']', CASE WHEN turn % 4 = 0 THEN concat(' [#TGT:', CAST(turn AS VARCHAR), ']') ELSE '' END)"

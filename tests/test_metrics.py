@@ -163,3 +163,13 @@ def test_runs_and_relevance_reach_every_vector(spark):
     runs = {(r.run, r.qid, r["rank"], r.docid) for r in V.runs(table).collect()}
     assert runs == {(f"run{r}", q, j, (q * 7 + j * (r * 2 + 3) + r) % 2000) for q in asked for j in range(1, 21) for r in range(5)}
     assert {tuple(r) for r in V.run_qrels(table).select("qid", "docid").collect()} == {(q, d) for q in asked for d in range(q % 4, 2000, 4) if d != q}
+
+
+def test_fallback_spans_read_whole_texts(spark, tmp_path):
+    from lumenqa.plans.registry import QUERIES
+
+    late = "Long intro here. " * 40 + "The authorised firm must notify the regulator now. Else."
+    spark.createDataFrame([(0, late), (1, late), (2, "First one! Second."), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.start) for r in QUERIES["t7_fallback_spans"](spark, str(tmp_path)).collect()}
+    clause = ("The authorised firm must notify the regulator now", 680)
+    assert got == {0: clause, 1: clause, 2: ("First one!", 0), 4: (None, None)}
