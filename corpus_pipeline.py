@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenqa.llm import bpe_automaton, decontamination, ngram_join, substring_dedup, toxicity
 from lumenqa.llm.entry import table, tokenizer_path
-from lumenqa.llm.workspace import Workspace
+from lumenqa.llm.workspace import Workspace, scratch
 
 ORACLE_SQL = None
 
@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
-    return work.tie(ngram_join.one_of_each(docs, work, threshold=0.8))
+    return ngram_join.one_of_each(docs, work, threshold=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     made = {"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}
-    return work.tie(cut.select(*(made.get(c, F.col(c)) for c in docs.columns)))
+    return cut.select(*(made.get(c, F.col(c)) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         work = Workspace(spark)
-        docs = work.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            docs = work.table(stage(spark, docs, sf_dir), f"stage-{name}")
         if before is not None:
             before.drop()
         before = work
-    return before.tie(docs)
+    return docs

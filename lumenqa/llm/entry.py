@@ -33,7 +33,7 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("tensors="), F.sha2("tensors", 256)),
     )
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-    return work.tie(found.select(*columns, F.sha2(digest, 256).alias("feature"), "frames", F.size("spans").alias("segments")))
+    return found.select(*columns, F.sha2(digest, 256).alias("feature"), "frames", F.size("spans").alias("segments"))
 
 
 def op3_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def tokenizer_path() -> str:
 def op4_rans_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     blocks, freq = token_store.write_tokens(table(spark, sf_dir, "documents"), work, tokenizer_path(), end_id=1)
-    return work.tie(token_store.read_tokens(blocks, freq))
+    return token_store.read_tokens(blocks, freq)
 
 
 def op8_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +83,13 @@ def op8_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
-    return work.tie(ngram_join.near_duplicates(table(spark, sf_dir, "documents"), work, threshold=0.8).drop("kept"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), work, threshold=0.8).drop("kept")
 
 
 def op10_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), work, size=20)
-    return work.tie(cut.select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,13 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
+    """The folder that driver and executors share. A temporary one is set only on a local master without any; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,39 +31,55 @@ def shared_dir(spark: SparkSession) -> str:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts are held in memory by both sides, so the session's default of 10,000 rows is lowered."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
+    if int(spark.conf.get(name)) > rows:  # never raised, and no result depends on it
         spark.conf.set(name, rows)
 
 
 class Workspace:
-    """Tables written to the shared folder; they go when the result they are tied to goes."""
+    """Tables in the shared folder. They live until ``drop`` or until the application ends, so any result derived from
+    them can be read at any time; nothing depends on which Python objects are still referenced."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
         bounded_batches(spark)
+        if scopes:
+            scopes[-1].append(self)
 
     def table(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write and reread: lineage ends here and lost executors cost no recomputation."""
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.options(compression="zstd", **options).parquet(path)
+        try:
+            df.write.options(compression="zstd", **options).parquet(path)
+        finally:
+            on_path(self.spark, path, lambda store, p: store.deleteOnExit(p))
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, name: str) -> None:
         """Delete the tables of one name that later steps no longer read."""
-        gone = [p for p in self.paths if p.rsplit("/", 1)[1].startswith(f"{name}-")]
-        drop_paths(self.spark, gone)
+        gone = [p for p in self.paths if not name or p.rsplit("/", 1)[1].startswith(f"{name}-")]
+        for p in gone:
+            on_path(self.spark, p, lambda store, at: store.delete(at, True))
         self.paths = [p for p in self.paths if p not in gone]
 
     def drop(self) -> None:
-        drop_paths(self.spark, self.paths)
-        self.paths = []
+        """Delete all its tables; results that rest on them can no longer be read."""
+        self.forget("")
 
-    def tie(self, df: DataFrame) -> DataFrame:
-        """Keep the tables as long as ``df`` itself is referenced."""
-        weakref.finalize(df, drop_paths, self.spark, list(self.paths)).atexit = False
-        self.paths = []
-        return df
+
+#: Open scopes, innermost last; each lists the workspaces made in it.
+scopes: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Drop on leaving every workspace made inside: for callers that write their result inside to one made outside."""
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for work in scopes.pop():
+            work.drop()
 
 
 def extended(df: DataFrame, **columns: str) -> StructType:
@@ -68,14 +87,10 @@ def extended(df: DataFrame, **columns: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items())).fields])
 
 
-def drop_paths(spark: SparkSession, paths: list[str]) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already, and its scratch with it
-        pass
+def on_path(spark: SparkSession, path: str, act) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(conf), at)
 
 
 def then(*steps):
