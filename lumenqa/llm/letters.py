@@ -29,7 +29,7 @@ def spelled(data: np.ndarray, offsets: np.ndarray) -> Spelled:
     before = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     within = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
     flat[np.repeat(starts[:-1], lengths) + within] = low[np.repeat(raw.starts, lengths) + within]
-    return Spelled(flat, W.Words(starts[:-1], starts[:-1] + lengths, raw.first, raw.hashes))
+    return Spelled(flat, W.Words(starts[:-1], starts[:-1] + lengths, raw.first, raw.hashes, flat))
 
 
 def gram_hashes(flat: np.ndarray, n: int) -> np.ndarray:

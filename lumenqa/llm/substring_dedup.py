@@ -1,6 +1,7 @@
 r"""Removal of repeated passages, with a count-min prefilter.
 
-A window is ``window`` consecutive words of one document, compared by 128-bit hashes. A word goes if any
+A window is ``window`` consecutive words of one document, compared by two
+independent 64-bit hashes. A word goes if any
 window that covers it has the same words as a window that starts earlier in (doc_id, place) order.
 
 Pass 1 counts. A window is counted at its anchor, the smallest hash among its GRAM-word grams: equal windows
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lumenqa.llm import bitset
 from lumenqa.llm import words as W
-from lumenqa.llm.rowkeys import keys_of, rows_hit, text_keys
+from lumenqa.llm.rowkeys import ids_of, keys_of, rows_hit, text_keys
 from lumenqa.llm.workspace import Workspace, extended, text_bytes, text_slices, then
 
 GRAM = 8
@@ -152,7 +153,7 @@ def candidate_windows(size: int, sketch):
                 if not len(at):
                     continue
                 doc = found.doc_of()[at]
-                h = [W.window_hashes(found.hashes, at, size, base).view(np.int64) for base in W.WINDOW_BASES]
+                h = [x.view(np.int64) for x in found.window_keys(at, size)]
                 place = (at - found.first[doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (h[0], h[1], *(x[doc] for x in keys_of(part, data, offsets)), place)], names=["h1", "h2", "d", "k", "place"]
@@ -165,8 +166,8 @@ def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
             data, offsets = text_bytes(part.column("text"))
-            d, k = keys_of(part, data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(text_keys(data, offsets, W.BYTE_BASE))], names=["d", "k", "k2"])
+            k, k2 = text_keys(data, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part)), pa.array(k), pa.array(k2)], names=["d", "k", "k2"])
 
 
 def screened(size: int, sketch, columns: list[str], todo: bool):

@@ -70,7 +70,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     table = np.array([False, True] + [False] * 254)
     shape = W.split(marks, offsets, table)
     starts, ends = shape.starts, shape.ends
-    values = W.mix(W.stretch_hashes(low.astype(U) + U(1), starts, ends, W.BYTE_BASE) + (ends - starts).astype(U) * U(0x632BE59BD9B4E019))
+    values = W.byte_hashes(low, starts, ends)
     kinds = np.zeros(len(starts), np.int8)
     if len(starts):
         number = DIGIT[data[starts]]

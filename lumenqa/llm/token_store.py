@@ -138,6 +138,21 @@ def not_plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] > sums[offsets[:-1]]
 
 
+def told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Representatives and classes of words, after words that share a hash but not their bytes got classes of their own."""
+    lengths, to = ends - starts, first[back]
+    same = lengths == lengths[to]
+    at = np.flatnonzero(same & (to != np.arange(len(to))))
+    spread = np.arange(int(lengths[at].sum())) - np.repeat(np.cumsum(lengths[at]) - lengths[at], lengths[at])
+    unlike = data[np.repeat(starts[at], lengths[at]) + spread] != data[np.repeat(starts[to[at]], lengths[at]) + spread]
+    if unlike.any():
+        same[np.repeat(at, lengths[at])[unlike]] = False
+    odd = np.flatnonzero(~same)
+    back = back.copy()
+    back[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), back
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library: its model is asked once for each pre-split word as long as the cache holds it.
 
@@ -178,8 +193,8 @@ class LibraryEncoder:
         after = np.append(places[1:], len(low))
         word = kind[places] != 0
         starts, ends = places[word], after[word]
-        hashes = W.mix(W.stretch_hashes(low.astype(U) + U(1), starts, ends, W.BYTE_BASE) + (ends - starts).astype(U) * U(0x632BE59BD9B4E019))
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, back = np.unique(W.byte_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        first, back = told_apart(low, starts, ends, first, back)
         raw, get = low.tobytes(), self.raw_cache.__getitem__
         entries = [get(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         sizes = np.array([len(e) >> 1 for e in entries], np.int64)

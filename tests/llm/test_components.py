@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from lumenqa.llm import bitset, workspace
+from lumenqa.llm import bitset, rowkeys, workspace
 from lumenqa.llm import words as W
 from lumenqa.llm.components import connected_components
 
@@ -56,3 +56,31 @@ def test_slices_cover_a_batch():
     parts = list(workspace.text_slices(batch, "text", 50))
     assert [len(p) for p in parts] == [2, 1, 3]
     assert pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    """Polynomials modulo 2^64 take such a word and its complement for one."""
+    for n in (1024, 2048):
+        a = thue_morse(n)
+        b = a.translate(str.maketrans("ab", "ba"))
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        w = W.split(data, np.array([0, len(data)]))
+        for h in (w.hashes, w.others):
+            assert h[0] == h[2] != h[1]
+        k = rowkeys.text_keys(data, np.array([0, n, n + 1, 2 * n + 1]))
+        assert k[0][0] != k[0][2] and k[1][0] != k[1][2]
+
+
+def test_byte_hashes_depend_on_the_bytes_alone():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, size=4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, size=3000)
+    ends = starts + rng.integers(1, 40, size=3000)
+    found = {}
+    for h, a, b in zip(W.byte_hashes(data, starts, ends).tolist(), starts, ends):
+        assert found.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(found.values())) == len(found)

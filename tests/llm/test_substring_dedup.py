@@ -58,3 +58,20 @@ def test_edges(spark):
     more = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, lang string, todo int")
     row = substring_dedup.remove_repeats(more, Workspace(spark)).first()
     assert (row.lang, row.n_words, row.n_removed, row.kept_text) == ("x", 2, 0, "a b")
+
+
+def test_thue_morse_words_differ(spark):
+    """Hashes of such words by polynomials modulo 2^64 collide."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, f"{word} " * 20), (2, f"{word.translate(str.maketrans('ab', 'ba'))} " * 20)]
+    assert run(spark, rows, 20) == brute(rows, 20)
+    assert [r[2] for r in run(spark, rows, 20)] == [0, 0]
+
+
+def test_results_can_be_chained(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    out = substring_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), Workspace(spark)).select("doc_id", "n_removed")
+    import gc
+
+    gc.collect()
+    assert out.where("doc_id > 1").limit(3).first().n_removed == 50 and out.join(out, "doc_id").count() == 2

@@ -58,3 +58,20 @@ def test_edges_and_damage(spark, monkeypatch):
     blocks, table = T.write_tokens(docs.limit(0), work, tokenizer_path())
     assert T.read_tokens(blocks, table).collect() == []
     work.drop()
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    data = np.frombuffer(b"abcabdabcxy", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
+    first, back = T.told_apart(data, starts, ends, np.array([0]), np.zeros(4, np.int64))
+    assert [(int(starts[first[b]]), int(ends[first[b]])) for b in back] == [(0, 3), (3, 6), (0, 3), (9, 11)]
+
+
+def test_thue_morse_words_and_chained_results(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, f"{word} x {word}")]
+    work = Workspace(spark)
+    out = T.read_tokens(*T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), work, tokenizer_path()))
+    assert sorted(tuple(r) for r in out.where("doc_id >= 0").collect()) == expected(rows, Tokenizer.from_file(tokenizer_path()))
+    assert out.limit(2).count() == 2
+    work.drop()
