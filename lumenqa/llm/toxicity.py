@@ -1,24 +1,31 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one a text of toxic, one of ordinary wording.
+"""Toxicity by compression distance: one zstandard dictionary of ordinary and one of toxic text.
 
-Training takes a bounded sample of labelled documents (``per_class`` of each class, in hash order of doc_id).
-Most words of a toxic document are ordinary, so the toxic dictionary is trained on those of its words that are
-much commoner in toxic documents (those surely so, and those likely so, each get a part), the ordinary one on words of ordinary documents. A window's length under the
-ordinary dictionary alone is held against its length with the toxic one behind it. Both are used as raw
-content, so literals cost a byte and a match shows in the length, and the lone one is padded to equal offsets.
+A window is WINDOW consecutive words of the lower-case text; every one of a text is compared. Its margin is its
+compressed length under the ordinary dictionary less that under the toxic one. Both are used as raw content, padded
+to one size, so that only their content tells them apart.
 
-A window is four words of the lower-case text. Windows are compared around each word that shares five bytes
-with the toxic dictionary and not with the ordinary one; elsewhere the toxic dictionary has nothing to offer and
-the margin is nil. The margin of a window is the first length less the second. The largest margin, the mean of the three largest, and the numbers of windows over two
-thresholds go through a logistic calibration, fitted on labelled documents that trained no dictionary and
-weighted to the classes' shares among all labels.
+Training takes a bounded sample of labelled documents (``per_class`` of each class, in hash order of doc_id), whole
+texts; a stretch of PIECE words that repeats in it, as in near copies, counts once. Two thirds of each class train:
 
-Rows with null or empty text, or text without letters, have no windows and get the score of no evidence.
+1. The ordinary dictionary is trained on the ordinary texts. The toxic texts are dealt into FOLDS parts, each of
+   which trains a dictionary.
+2. Most of a toxic text is ordinary wording, so these dictionaries are distilled: of each part the windows that
+   every other part's dictionary shortens by CUT bytes against the ordinary one are kept. What only one document
+   says is not in the other parts' dictionaries; what toxic texts have in common is. Each part's windows train its
+   next dictionary, for ROUNDS rounds; those of all parts train the toxic dictionary.
+3. The ordinary windows that the toxic dictionary shortens train a further part of the ordinary one.
+
+The last third calibrates: thresholds are quantiles of the margins of ordinary windows, and the largest margin, the
+mean of the three largest, the mean of all, and the numbers and shares of windows at each threshold go through a
+logistic regression in which toxic documents weigh TOXIC_SHARE of all.
+
+Repeated rows get equal scores. Rows with null or empty text, or text without letters, have no windows and get the
+score of no evidence.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,31 +38,34 @@ from pyspark.sql import functions as F
 from lumenqa.llm import letters
 from lumenqa.llm.workspace import bounded_batches, extended, text_bytes, text_slices
 
-WINDOW, SHARED = 4, 5
-COMMON_BYTES, OWN_BYTES, TELLING, SURE = 10_240, 2048, 200, 4
+WINDOW, PIECE = 2, 8
+FOLDS, ROUNDS, CUT = 3, 2, 3
+ORDINARY_BYTES, HARD_BYTES, PART_BYTES, TOXIC_BYTES = 1 << 18, 1 << 15, 1 << 15, 1 << 13
+#: Two bytes repeated: pays for the headers of a match, so that one more match shows in full.
 CARRIER = b"\x01\x02" * 8
-THRESHOLDS = (2, 4)
-FEATURES = 2 * (2 + len(THRESHOLDS))
+QUANTILES = (0.95, 0.99, 0.999, 0.9999)
+FEATURES = 3 + 2 * len(QUANTILES)
+TOXIC_SHARE = 0.25
 
 
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: list[bytes]
-    grams: list[np.ndarray]
-    weights: np.ndarray
+    toxic: bytes
+    thresholds: np.ndarray
+    weights: np.ndarray  # of the features, then the intercept
+    scale: np.ndarray  # mean and deviation of each feature
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """Dictionary content by zstandard's trainer; too small a sample is its own dictionary."""
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Dictionary content of at most ``size`` bytes by zstandard's trainer; samples of no more than that are it themselves."""
+    whole = b"".join(samples)
+    if len(whole) <= size:
+        return whole
     try:
-        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
-
-
-def joined(words: list[bytes], n: int) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few samples for the trainer
+        return whole[-size:]
 
 
 def word_lists(texts: list[str]) -> list[list[bytes]]:
@@ -66,56 +76,92 @@ def word_lists(texts: list[str]) -> list[list[bytes]]:
     return out
 
 
-def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """Dictionaries from two thirds of each class, calibration from the rest; share is that of label 1 in all labels."""
-    parts = [(x[: 2 * len(x) // 3], x[2 * len(x) // 3 :]) for x in (word_lists(toxic), word_lists(ordinary))]
-    (fit_toxic, held_toxic), (fit_ordinary, held_ordinary) = parts
-    counts = []
-    for docs in (fit_toxic, fit_ordinary):
-        distinct = {tuple(w[:8]): w for w in docs}  # near copies share an opening and count once
-        counts.append((len(distinct), Counter(x for w in distinct.values() for x in set(w))))
-    (n_toxic, of_toxic), (n_ordinary, of_ordinary) = counts
-    sure, likely = telling_words(of_toxic, n_toxic, of_ordinary, n_ordinary)
-    plain = [x for w in fit_ordinary for x in w]
-    good = trained(joined(plain[:120_000], 4), COMMON_BYTES)
-    bad = [trained(joined([x for w in fit_toxic for x in w if x in some], 2), OWN_BYTES) for some in (sure, likely)]
-
-    def grams(content: bytes) -> np.ndarray:
-        return np.unique(letters.gram_hashes(np.frombuffer(content, np.uint8), SHARED))
-
-    pads = max(map(len, bad))
-    model = Model(good + bytes(pads), [good + bytes(pads - len(x)) + x for x in bad], [np.setdiff1d(grams(x), grams(good)) for x in bad], np.zeros(FEATURES + 1))
-    scorer = Scorer(model)
-    x = np.array([scorer.features(" ".join(map(bytes.decode, w))) for w in (*held_toxic, *held_ordinary)]).reshape(-1, FEATURES)
-    y = np.repeat([1.0, 0.0], [len(held_toxic), len(held_ordinary)])
-    each = np.repeat([share / max(1, len(held_toxic)), (1 - share) / max(1, len(held_ordinary))], [len(held_toxic), len(held_ordinary)])
-    model.weights = logistic(x, y, each, share)
-    return model
+def pieces(docs: list[list[bytes]], seen: set[tuple[bytes, ...]]) -> list[list[bytes]]:
+    """The documents' stretches of PIECE words that were not seen before."""
+    out = []
+    for words in docs:
+        for at in range(0, len(words), PIECE):
+            piece = tuple(words[at : at + PIECE])
+            if piece not in seen:
+                seen.add(piece)
+                out.append(list(piece))
+    return out
+
 
+def spelled(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
 
-def telling_words(of_toxic: Counter, n_toxic: int, of_ordinary: Counter, n_ordinary: int) -> tuple[set[bytes], set[bytes]]:
-    """Words with an odds ratio of document counts over eight: those surely so (SURE standard errors off nil), and others."""
-    found = []
-    for w, n in of_toxic.items():
-        m = of_ordinary[w]
-        ratio = np.log((n + 0.5) / (n_toxic - n + 0.5)) - np.log((m + 0.5) / (n_ordinary - m + 0.5))
-        z = ratio / np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if n >= max(3, 0.01 * n_toxic) and ratio > np.log(8):
-            found.append((z, w))
-    found.sort(reverse=True)
-    sure = [w for z, w in found if z > SURE][:TELLING]
-    rest = [w for z, w in found if w not in set(sure)]
-    return set(sure), set(rest[: 5 * TELLING])
 
+def windows(words: list[bytes]) -> list[bytes]:
+    """Every window of a text; fewer words than WINDOW are one."""
+    return [spelled(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))] if words else []
 
-def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, share: float, ridge: float = 1e-4) -> np.ndarray:
+
+class Lengths:
+    """Compressed lengths under one dictionary, padded in front to ``size`` bytes."""
+
+    def __init__(self, content: bytes, size: int):
+        rule = zstandard.ZstdCompressionParameters.from_level(
+            3, source_size=64, dict_size=size, hash_log=20, chain_log=20, write_content_size=False, write_dict_id=False, write_checksum=False
+        )
+        known = zstandard.ZstdCompressionDict(bytes(size - len(content)) + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=rule)
+        self.compress = zstandard.ZstdCompressor(dict_data=known, compression_params=rule).compress
+
+    def of(self, windows: list[bytes]) -> np.ndarray:
+        compress = self.compress
+        return np.array([len(compress(CARRIER + w)) for w in windows], np.int64)
+
+
+def distilled(parts: list[list[list[bytes]]], ordinary: bytes) -> bytes:
+    """The toxic dictionary from the pieces of each part."""
+    size = max(len(ordinary), PART_BYTES)
+    plain = Lengths(ordinary, size)
+    found = [[w for p in part for w in windows(p)] for part in parts]
+    before = [plain.of(w) for w in found]
+    content = [trained([spelled(p) for p in part], PART_BYTES, 16) for part in parts]
+    kept = found
+    for _ in range(ROUNDS):
+        lengths = [Lengths(c, size) for c in content]
+        kept = []
+        for i, w in enumerate(found):
+            margin = np.min([before[i] - x.of(w) for j, x in enumerate(lengths) if j != i], axis=0)
+            kept.append([w[at] for at in np.flatnonzero(margin >= CUT)])
+        content = [trained(k, TOXIC_BYTES, 16) if k else b"" for k in kept]
+    return trained([w for k in kept for w in k], TOXIC_BYTES, 16)
+
+
+def train(toxic: list[str], ordinary: list[str]) -> Model:
+    """Dictionaries from two thirds of each class, thresholds and calibration from the rest."""
+    (fit_toxic, held_toxic), (fit_ordinary, held_ordinary) = [(x[: 2 * len(x) // 3], x[2 * len(x) // 3 :]) for x in (word_lists(toxic), word_lists(ordinary))]
+    seen: set[tuple[bytes, ...]] = set()
+    parts = [pieces(fit_toxic[i::FOLDS], seen) for i in range(FOLDS)]
+    plain = pieces(fit_ordinary, seen)
+    good = trained([spelled(p) for p in plain], ORDINARY_BYTES, 32)
+    bad = distilled(parts, good)
+    size = max(len(good), len(bad))
+    common = [w for p in plain for w in windows(p)]
+    margin = Lengths(good, size).of(common) - Lengths(bad, size).of(common)
+    if hard := [common[i] for i in np.flatnonzero(margin > 0)]:
+        good += trained(hard, HARD_BYTES, 16)
+    model = Model(good, bad, np.zeros(len(QUANTILES)), np.zeros(FEATURES + 1), np.array([[0.0], [1.0]]).repeat(FEATURES, 1))
+    scorer = Scorer(model)
+    margins = [scorer.margins(windows(w)) for w in (*held_toxic, *held_ordinary)]
+    of_ordinary = np.concatenate([np.zeros(1, np.int64), *margins[len(held_toxic) :]])
+    model.thresholds = np.maximum(np.quantile(of_ordinary, QUANTILES), 1)
+    if len(held_toxic) and len(held_ordinary):
+        x = np.array([scorer.features(m) for m in margins])
+        y = np.repeat([1.0, 0.0], [len(held_toxic), len(held_ordinary)])
+        model.scale = np.array([x.mean(axis=0), x.std(axis=0) + 1e-9])
+        model.weights = logistic((x - model.scale[0]) / model.scale[1], y, np.where(y > 0, TOXIC_SHARE / len(held_toxic), (1 - TOXIC_SHARE) / len(held_ordinary)))
+    return model
+
+
+def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """Weighted logistic regression by Newton steps; the last weight is the intercept."""
     design = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(design.shape[1])
-    w[-1] = np.log(min(max(share, 1e-3), 1 - 1e-3) / (1 - min(max(share, 1e-3), 1 - 1e-3)))
-    if not len(x):
-        return w
-    for _ in range(50):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         step = np.linalg.solve((design * (each * p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(w)), design.T @ (each * (p - y)) + ridge * np.append(w[:-1], 0))
         w -= np.clip(step, -2, 2)
@@ -129,52 +175,38 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        size = len(model.ordinary)
-        rule = zstandard.ZstdCompressionParameters.from_level(
-            19, source_size=64, dict_size=size, strategy=zstandard.STRATEGY_BTULTRA, min_match=5, write_content_size=False, write_dict_id=False, write_checksum=False
-        )
-        self.compress = []
-        for content in (model.ordinary, *model.toxic):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=rule)
-            self.compress.append(zstandard.ZstdCompressor(dict_data=d, compression_params=rule).compress)
+        size = max(len(model.ordinary), len(model.toxic))
+        self.plain, self.bad = Lengths(model.ordinary, size), Lengths(model.toxic, size)
 
-    def margin(self, window: bytes, part: int) -> int:
-        return len(self.compress[0](CARRIER + window)) - len(self.compress[part + 1](CARRIER + window))
+    def margins(self, windows: list[bytes]) -> np.ndarray:
+        return self.plain.of(windows) - self.bad.of(windows)
 
-    def batch(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Features of each text: for each toxic dictionary the margins' largest, mean of three, and numbers."""
-        text = letters.spelled(data, offsets)
-        words, flat = text.words, text.flat.tobytes()
-        out = np.zeros((len(offsets) - 1, 2, FEATURES // 2))
-        hashes = letters.gram_hashes(text.flat, SHARED)
-        for part, grams in enumerate(self.model.grams):
-            if not len(words.starts) or not len(grams):
-                continue
-            at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
-            place = np.flatnonzero(grams[at] == hashes)
-            hit = np.unique(np.maximum(np.searchsorted(words.starts, place + 1, side="right") - 1, 0))
-            doc = np.searchsorted(words.first, hit, side="right") - 1
-            lo = np.maximum(hit - 1, words.first[doc])
-            hi = np.minimum(lo + WINDOW, words.first[doc + 1])
-            lo = np.maximum(hi - WINDOW, words.first[doc])
-            margins: dict[int, dict[int, int]] = {}
-            for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                seen = margins.setdefault(d, {})
-                if a not in seen:
-                    seen[a] = self.margin(b" " + flat[words.starts[a] : words.ends[b - 1]] + b" ", part)
-            for d, seen in margins.items():
-                top = sorted(seen.values(), reverse=True)
-                out[d, part] = (max(0, top[0]), max(0, sum(top[:3]) / 3), *(np.log1p(sum(m >= t for m in top)) for t in THRESHOLDS))
-        return out.reshape(len(out), FEATURES)
-
-    def features(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return self.batch(raw, np.array([0, len(raw)]))[0]
+    def features(self, margins: np.ndarray) -> np.ndarray:
+        if not len(margins):
+            return np.zeros(FEATURES)
+        top = np.sort(margins)[::-1]
+        n = np.array([(margins >= t).sum() for t in self.model.thresholds])
+        return np.concatenate([[top[0], top[:3].mean(), margins.mean()], np.log1p(n), n / len(margins)])
+
+    def score(self, features: np.ndarray) -> float:
+        mean, deviation = self.model.scale
+        return float(1 / (1 + np.exp(-np.clip((features - mean) / deviation @ self.model.weights[:-1] + self.model.weights[-1], -30, 30))))
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = self.batch(data, offsets)
-        return 1 / (1 + np.exp(-np.clip(x @ self.model.weights[:-1] + self.model.weights[-1], -30, 30)))
+        """The score of each text. Equal windows of a slice are compressed once."""
+        text = letters.spelled(data, offsets)
+        first, starts, ends = text.words.first, text.words.starts, text.words.ends
+        words = np.diff(first)
+        counts = np.where(words > 0, np.maximum(words - WINDOW + 1, 1), 0)
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(first[:-1], counts) + np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts)
+        last = np.minimum(at + WINDOW, np.repeat(first[1:], counts)) - 1
+        flat = text.flat.tobytes()
+        each = [flat[a:b] for a, b in zip((starts[at] - 1).tolist(), (ends[last] + 1).tolist(), strict=True)]  # with the spaces around
+        number: dict[bytes, int] = {}
+        back = np.array([number.setdefault(w, len(number)) for w in each], np.int64)
+        margins = self.margins(list(number))[back] if each else np.zeros(0, np.int64)
+        return np.array([self.score(self.features(margins[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
 
 
 def held_out(doc_id: Column, folds: int = 3, out: int = 1) -> Column:
@@ -182,22 +214,20 @@ def held_out(doc_id: Column, folds: int = 3, out: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == out
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2400) -> Model:
     """Train on at most ``per_class`` labelled documents of each class outside the held-out fold.
 
     A document labelled twice is toxic if any label says so; null labels say nothing.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.checkpoint()
-    counts = {r[0]: r[1] for r in known.groupBy(F.col("toxic") > 0).count().collect()}
     texts = {}
     for label in (True, False):
         chosen = known.where((F.col("toxic") > 0) == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
         found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null")
         rows = found.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # at most per_class texts
         texts[label] = [r["text"] for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))]
-    total = sum(counts.values())
-    return train(texts[True], texts[False], counts.get(True, 0) / total if total else 0.0)
+    return train(texts[True], texts[False])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenqa.llm import toxicity
+from lumenqa.llm import letters, toxicity
 
 
 def auc(score, y):
@@ -42,5 +42,37 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("text", ["", "a", "Ünïcode Wörter", "tab\tand\nline"])
 def test_margins_of_any_text(text):
-    model = toxicity.train(["bad bad words"] * 5, ["good fine words"] * 5, 0.5)
-    assert toxicity.Scorer(model).features(text).shape == (toxicity.FEATURES,)
+    model = toxicity.train(["bad bad words"] * 5, ["good fine words"] * 5)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert 0 <= toxicity.Scorer(model).scores(raw, np.array([0, len(raw)]))[0] <= 1
+
+
+def by_hand(model, text):
+    """Every window of a text, compressed one by one."""
+    words = bytes(letters.spelled(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).flat).split()
+    scorer = toxicity.Scorer(model)
+    margins = []
+    for i in range(max(1, len(words) - toxicity.WINDOW + 1)) if words else []:
+        w = b" " + b" ".join(words[i : i + toxicity.WINDOW]) + b" "
+        margins.append(len(scorer.plain.compress(toxicity.CARRIER + w)) - len(scorer.bad.compress(toxicity.CARRIER + w)))
+    return scorer.score(scorer.features(np.array(margins)))
+
+
+def test_every_window_is_compared():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice(["ka", "to", "ri", "me", "su", "no", "é"]) for _ in range(rng.randint(1, 4)))
+    plain = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    toxic = [t + " vilewordhere nastyone " + word() for t in plain[:40]]
+    model = toxicity.train(toxic, plain)
+    texts = [*plain, *toxic, "", "12 34", "a", "Ünïcode Wörter", "tab\tand\nline", "vilewordhere"]
+    raw = [t.encode() for t in texts]
+    got = toxicity.Scorer(model).scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert np.allclose(got, [by_hand(model, t) for t in texts], atol=1e-12)
+    assert got[len(plain) : len(plain) + 40].mean() > got[: len(plain)].mean()
+
+
+def test_repeated_rows_and_a_clashing_column(spark):
+    model = toxicity.train(["bad vile words here"] * 9, ["good fine words here"] * 9)
+    docs = spark.createDataFrame([(1, "bad vile words", "x"), (1, "bad vile words", "x"), (2, "fine", None)], "doc_id long, text string, tox_score string")
+    rows = toxicity.scored(docs, model).collect()
+    assert len(rows) == 3 and rows[0].tox_score == rows[1].tox_score and isinstance(rows[2].tox_score, float)
