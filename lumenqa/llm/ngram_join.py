@@ -11,11 +11,14 @@ Copies, which have equal sets, form a class; the rest works on one row a class.
 3. Within each candidate group the exact Jaccard similarity of every pair is computed on whole shingle sets.
    Verified pairs give the classes (connected components) and the number of links of each document.
 
-Large buckets and groups are dealt into blocks, and pairs of blocks to tasks, so no task holds a whole group.
+Large buckets and groups are dealt into blocks, and pairs of blocks to tasks, so no task holds a whole group. A
+bucket's blocks have about BUCKET_BLOCK rows of 128 bytes, a group's about GROUP_BLOCK rows and GROUP_BYTES of
+shingles, so a group of m classes ships each of its sets about m / GROUP_BLOCK times, or once up to that size.
 A task never emits pairs: it returns a spanning star of what it linked and a count of links per class, so
 output stays linear while no link is lost. There is no cap on bucket, group or text size.
 
-Class nodes are 64-bit hashes of shingle sets: two different sets share one with a chance of n^2 / 2^65.
+Class nodes are 64 bits of a BLAKE2b digest of the shingle set; sets that share them but not the next 64 get nodes
+of their own.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenqa.llm import bitset
@@ -38,7 +42,9 @@ from lumenqa.llm.workspace import Workspace, extended, text_bytes, text_slices
 
 SHINGLE, VALUES, BANDS, BAND_ROWS = 5, 128, 24, 4
 STEPS = (16, 32, 64, 128)
-BUCKET_BLOCK, GROUP_BLOCK = 512, 192
+BUCKET_BLOCK, GROUP_BLOCK, GROUP_BYTES = 4096, 1024, 4_000_000
+#: A class with at least one in HOT of all rows meets its rows by broadcast: there are at most HOT such classes.
+HOT = 1000
 PAIRS = 400_000
 U = np.uint64
 
@@ -82,14 +88,15 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batch, "text"):
             data, offsets = text_bytes(part.column("text"))
             d, k = keys_of(part, data, offsets)
-            node, n, bands, sigs = [], [], [], []
+            node, node2, n, bands, sigs = [], [], [], [], []
             for s in shingle_sets(data, offsets):
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), bands.append(None), sigs.append(None)
+                    node.append(None), node2.append(None), bands.append(None), sigs.append(None)
                     continue
                 low = minhash(s)
-                node.append(int((W.mix(np.array([W.mix(s + U(77)).sum() + U(len(s))]))).view(np.int64)[0]))
+                for out, half in zip((node, node2), np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist(), strict=True):
+                    out.append(half)
                 quads = low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
                 band = np.zeros(BANDS, U) + np.arange(1, BANDS + 1, dtype=U)
                 for c in range(BAND_ROWS):
@@ -97,8 +104,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(band.view(np.int64))
                 sigs.append(W.mix(low).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(k), pa.array(row_key(d, k)), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["d", "k", "key", "node", "n", "bands", "sig"],
+                [pa.array(d), pa.array(k), pa.array(row_key(d, k)), pa.array(node, pa.int64()), pa.array(node2, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["d", "k", "key", "node", "node2", "n", "bands", "sig"],
             )
 
 
@@ -146,12 +153,12 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def deal(df: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """Rows of each group to pairs of blocks: (group, lo, hi) with every pair of rows together in one of them."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
+def deal(df: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of each group to pairs of its ``blocks``: (group, lo, hi) with every pair of rows together in one of them."""
+    blocks = blocks.cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     dealt = df.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other", size)
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], names: list[str], many: int) -> Iterator[pa.Table]:
@@ -210,28 +217,57 @@ def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
 
 
-def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs whose exact Jaccard similarity reaches the threshold."""
-    g = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    if g == 2:
-        both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
-        shared = (both + both.T).astype(np.float64)
-    else:
-        values, where = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(g), sizes)
-        shared = np.zeros((g, g))
-        order = np.argsort(where, kind="stable")
-        where, owner = where[order], owner[order]
-        for at in range(0, len(values), 4096):
-            lo, hi = np.searchsorted(where, [at, at + 4096])
-            cells = np.zeros((g, min(4096, len(values) - at)), np.float32)
-            cells[owner[lo:hi], where[lo:hi] - at] = 1
-            shared += cells @ cells.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    linked = shared >= threshold * union - 1e-9
-    np.fill_diagonal(linked, False)
-    return linked
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``.
+
+    Shingles that few pairs share are counted pair by pair, the others as a product of matrices.
+    """
+    g, h = len(left), len(right)
+    a, b = np.concatenate(left), np.concatenate(right)
+    owner_a, owner_b = np.repeat(np.arange(g), [len(s) for s in left]), np.repeat(np.arange(h), [len(s) for s in right])
+    common = np.intersect1d(a, b)
+    out = np.zeros((g, h))
+    if not len(common):
+        return out
+
+    def placed(values, owner):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = np.flatnonzero(common[at] == values)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], owner[hit][order]
+
+    (col_a, row_a), (col_b, row_b) = placed(a, owner_a), placed(b, owner_b)
+    n_a, n_b = np.bincount(col_a, minlength=len(common)), np.bincount(col_b, minlength=len(common))
+    dense = n_a * n_b > g * h / 400
+    number = np.cumsum(dense) - 1
+    for at in range(0, int(dense.sum()), 4096):
+        width = min(4096, int(dense.sum()) - at)
+        cells = []
+        for n, col, row in ((g, col_a, row_a), (h, col_b, row_b)):
+            pick = np.flatnonzero(dense[col] & (number[col] >= at) & (number[col] < at + width))
+            part = np.zeros((n, width), np.float32)
+            part[row[pick], number[col[pick]] - at] = 1
+            cells.append(part)
+        out += cells[0] @ cells[1].T
+    rare = np.flatnonzero(~dense[col_a])
+    first_b = np.cumsum(n_b) - n_b
+    for at in range(0, len(rare), 50_000):
+        pick = rare[at : at + 50_000]
+        times = n_b[col_a[pick]]
+        spread = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.repeat(row_a[pick], times) * h + row_b[np.repeat(first_b[col_a[pick]], times) + spread]
+        if 8 * len(pairs) > g * h:
+            out += np.bincount(pairs, minlength=g * h).reshape(g, h)
+        else:
+            np.add.at(out.reshape(-1), pairs, 1)
+    return out
+
+
+def jaccard_links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs of a set of ``left`` and one of ``right`` whose exact Jaccard similarity reaches the threshold."""
+    shared = shared_counts(left, right)
+    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - shared
+    return shared >= threshold * union - 1e-9
 
 
 def verify_groups(threshold: float):
@@ -246,44 +282,63 @@ def verify_groups(threshold: float):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
                 if b - a < 2:
                     continue
-                linked = jaccard_links([np.frombuffer(s.as_py(), U) for s in t.column("shingles")[a:b]], threshold)
-                if lo[a] != hi[a]:
-                    linked &= own[a:b, None] != own[None, a:b]
-                links[a:b] = linked @ copies[a:b]
-                i, j = np.nonzero(np.triu(linked))
-                roots[a:b] = node[a:b][least_labels(b - a, i, j)]
+                sets = [np.frombuffer(x.as_py(), U) for x in t.column("shingles")[a:b]]
+                # rows of a pair of blocks meet across it alone; rows of one block meet each other
+                i, j = (np.flatnonzero(own[a:b] == x[a]) for x in (lo, hi))
+                if not len(i) or not len(j):
+                    continue
+                linked = jaccard_links([sets[x] for x in i], [sets[x] for x in j], threshold)
+                if lo[a] == hi[a]:
+                    np.fill_diagonal(linked, False)
+                else:
+                    links[a + j] = linked.T @ copies[a + i]
+                links[a + i] = linked @ copies[a + j]
+                u, v = np.nonzero(linked)
+                roots[a:b] = node[a:b][least_labels(b - a, i[u], j[v])]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(roots), pa.array(links)], names=["node", "root", "links"])
 
     return run
 
 
+def told_apart(sig: DataFrame) -> DataFrame:
+    """``sig`` with a new node for each class that shares its node with another: of several, the one of the least node2 keeps it."""
+    shared = sig.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("node2").alias("first"), F.max("node2").alias("last"))
+    shared = shared.where("first < last").drop("last").checkpoint()
+    if not shared.head(1):
+        return sig
+    other = F.when(F.col("first").isNull() | (F.col("node2") == F.col("first")), F.col("node")).otherwise(F.xxhash64("node", "node2"))
+    return sig.join(shared, "node", "left").withColumn("node", other).drop("first")
+
+
 def similarity_classes(docs: DataFrame, work: Workspace, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """(d, k, key, class_id, n_links, kept) of every row of ``docs`` (doc_id, text); see near_duplicates."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = work.table(slim.mapInArrow(signatures, "d long, k long, key long, node long, n int, bands array<long>, sig binary"), "signatures")
-    classes = sig.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("d", "k", "key")).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    ddl = "d long, k long, key long, node long, node2 long, n int, bands array<long>, sig binary"
+    sig = told_apart(work.table(slim.mapInArrow(signatures, ddl), "signatures"))
+    classes = sig.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("d", "k", "key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
     with_bands = sig.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("bands", "sig")).alias("s"))
 
     banded = with_bands.select("node", F.explode("s.bands").alias("band"))
     live = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = banded.join(live, "band").join(with_bands.select("node", "s.sig"), "node")
-    dealt = deal(members, "band", "m", BUCKET_BLOCK)
+    dealt = deal(members, F.ceil(F.col("m") / BUCKET_BLOCK))
     ordered = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node").select("band", "lo", "hi", "own", "node", "sig")
     proposed = ordered.mapInArrow(compare_buckets(least_matches(threshold, tolerance)), "u long, v long").distinct()
     groups = connected_components(proposed)
 
-    sized = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    chosen = groups.join(sized, "label").join(classes, "node").select("node", F.col("label").alias("cc"), "m", "copies", F.col("rep.d").alias("__d"), F.col("rep.k").alias("__k"), F.col("rep.key").alias("key")).checkpoint()
+    met = groups.join(classes, "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(8 * F.sum("n") / GROUP_BYTES))
+    chosen = met.join(met.groupBy("label").agg(blocks.alias("blocks")), "label").select("node", F.col("label").alias("cc"), "blocks", "copies", F.col("rep.d").alias("__d"), F.col("rep.k").alias("__k"), F.col("rep.key").alias("key")).checkpoint()
     bits = spark.sparkContext.broadcast(bitset.build(chosen, chosen.count()))
     texts = slim.mapInArrow(rows_hit(bits, ["__d", "__k", "text"], True), "__d long, __k long, text string")
     sets = (
         texts.join(chosen.drop("key"), ["__d", "__k"])
-        .select("cc", "node", "m", "copies", "text")
-        .mapInArrow(shingled, "cc long, node long, m long, copies long, shingles binary")
+        .select("cc", "node", "blocks", "copies", "text")
+        .mapInArrow(shingled, "cc long, node long, blocks long, copies long, shingles binary")
         .dropDuplicates(["node"])
     )
-    parts = deal(sets, "cc", "m", GROUP_BLOCK).repartition("cc", "lo", "hi").sortWithinPartitions("cc", "lo", "hi", "node")
+    parts = deal(sets, F.col("blocks")).repartition("cc", "lo", "hi").sortWithinPartitions("cc", "lo", "hi", "node")
     verified = parts.select("cc", "lo", "hi", "own", "node", "copies", "shingles").mapInArrow(verify_groups(threshold), "node long, root long, links long").checkpoint()
     joined = connected_components(verified.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
 
@@ -291,9 +346,13 @@ def similarity_classes(docs: DataFrame, work: Workspace, threshold: float = 0.8,
     known = classes.join(joined, "node", "left").join(links, "node", "left")
     known = known.select("node", "copies", "rep", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     first = known.groupBy("label").agg(F.min("rep").alias("first"))
-    of_node = known.join(first, "label").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), "first")
+    of_node = known.join(first, "label").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), "first", "copies").checkpoint()
+    often = F.col("copies") * HOT >= F.lit(sig.count())  # at most HOT classes
+    hot, rows = F.broadcast(of_node.where(often)), sig.select("d", "k", "key", "node")
     doc = F.col("first.d")
-    return sig.select("d", "k", "key", "node").join(of_node, "node", "left").select(
+    many = rows.join(hot, "node")
+    few = rows.join(hot.select("node"), "node", "left_anti").join(of_node.where(~often), "node", "left")
+    return many.unionByName(few).select(
         "d", "k", "key",
         F.nullif(F.coalesce(doc, F.col("d")), F.lit(NO_ID)).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lumenqa.llm import ngram_join
@@ -54,8 +55,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_classes_and_links_equal_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1000), (2, 20)])
+def test_classes_and_links_equal_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 8)
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 8)
     rows = corpus(seed)
@@ -79,3 +81,34 @@ def test_one_of_each_and_edges(spark):
 def test_pruning_keeps_the_threshold():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and all(m < 0.8 * n for m, n in zip(least, ngram_join.STEPS, strict=True))
+
+
+def test_blocks_by_bytes_and_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", 20_000)
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for d in range(260):
+        copy = list(text)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(500)}"
+        rows.append((d, " ".join(copy)))
+    work = Workspace(spark)
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), work)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out.collect()) == brute(rows)
+    assert out.where("doc_id >= 0").limit(3).count() == 3 and out.join(out, "doc_id").count() == len(rows)
+    work.drop()
+
+
+def test_shared_counts_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for g, h in [(1, 1), (2, 3), (40, 30)]:
+        left, right = ([np.unique(rng.integers(0, 200, size=rng.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (g, h))
+        got = ngram_join.shared_counts(left, right)
+        assert (got == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
+
+
+def test_sets_that_share_a_node_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 2), (3, 7, 2), (4, 9, 5), (5, None, None)]
+    got = {r.d: r.node for r in ngram_join.told_apart(spark.createDataFrame(rows, "d long, node long, node2 long")).collect()}
+    assert got[1] == 7 and got[4] == 9 and got[5] is None and got[2] == got[3] not in (7, 9)
