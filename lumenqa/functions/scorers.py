@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -69,6 +70,45 @@ class StubEncoder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+#: For each provider: path of the call, header of the key, request body, and where the reply stands in the response.
+SERVICES = {
+    "openai": ("/v1/chat/completions", "Authorization", lambda m, p: {"model": m, "temperature": 0, "messages": [{"role": "user", "content": p}]}, lambda r: r["choices"][0]["message"]["content"]),
+    "anthropic": ("/v1/messages", "x-api-key", lambda m, p: {"model": m, "max_tokens": 1024, "messages": [{"role": "user", "content": p}]}, lambda r: r["content"][0]["text"]),
+    "gemini": ("/v1beta/models/{model}:generateContent", "x-goog-api-key", lambda m, p: {"contents": [{"parts": [{"text": p}]}]}, lambda r: r["candidates"][0]["content"]["parts"][0]["text"]),
+    "hf": ("/generate", "Authorization", lambda m, p: {"inputs": p, "parameters": {"max_new_tokens": 1024}}, lambda r: r["generated_text"]),
+}
+
+
+class HttpCompletion:
+    """A completion service over HTTP: the provider's own call at ``base``, one prompt a request.
+
+    A failed call is the reply ``[PROVIDER_API_ERROR] reason``, as answers are kept and scored; ``raising`` raises instead.
+    """
+
+    def __init__(self, provider: str, base: str, model: str, key: str = "", timeout: float = 60, raising: bool = False):
+        self.provider, self.base, self.model, self.key, self.timeout, self.raising = provider, base.rstrip("/"), model, key, timeout, raising
+
+    def one(self, prompt: str) -> str:
+        path, header, body, reply = SERVICES[self.provider]
+        headers = {"Content-Type": "application/json", header: f"Bearer {self.key}" if header == "Authorization" else self.key}
+        if self.provider == "anthropic":
+            headers["anthropic-version"] = "2023-06-01"
+        request = urllib.request.Request(self.base + path.format(model=self.model), json.dumps(body(self.model, prompt)).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as response:
+            return (reply(json.load(response)) or "").strip()
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            try:
+                out.append(self.one(p))
+            except Exception as e:  # noqa: BLE001 - one failed call is one failed answer
+                if self.raising:
+                    raise
+                out.append(f"[{self.provider.upper()}_API_ERROR] {e}")
+        return out
+
+
 def with_columns(df: DataFrame, ddl: str, make: Callable[[], object], call: Callable[[object, pa.RecordBatch], list[pa.Array]], batch: int = 64) -> DataFrame:
     """``df`` with the columns of ``ddl`` made by ``call(model, batch)`` on batches of at most ``batch`` rows."""
     added = StructType.fromDDL(ddl)
@@ -109,6 +149,22 @@ def parsed_verdicts(df: DataFrame) -> DataFrame:
     return df.withColumn("verdict", F.when(v["final_score"].isNotNull(), v).otherwise(zero)).withColumn("valid", v["final_score"].isNotNull())
 
 
+def answer_scores(reply: Column, rule: str) -> Column:
+    """(answer_relevance, answer_faithfulness) of a judge's reply, whole numbers from 0 to 5.
+
+    clamp: an absent score is 0 and one out of range goes to the nearest end. reject: either is null. No JSON object:
+    both null. Means over them leave nulls out.
+    """
+    block = T.json_block(T.unfenced(reply))
+    valid = F.get_json_object(block, "$").isNotNull()
+
+    def score(name: str) -> Column:
+        found = F.get_json_object(block, f"$.{name}").try_cast("double").cast("int")
+        return F.when(valid, T.clamped_score(F.coalesce(found, F.lit(0))) if rule == "clamp" else T.score_in_range(found)).alias(name)
+
+    return F.struct(score("answer_relevance"), score("answer_faithfulness"))
+
+
 def judged(qas: DataFrame, prompt: str, gate: str, make: Callable[[], Completion] = StubJudge) -> DataFrame:
     """Judge only rows whose array ``gate`` is empty; the others get the zero result without a call."""
     zero = F.struct(F.lit(False).alias("passed"), F.lit(0).alias("final_score"), F.struct(F.lit(0).alias("realism"), F.lit(0).alias("dual_use"), F.lit(0).alias("correctness")).alias("subscores"))

@@ -181,24 +181,32 @@ def looks_like_citation(x: Column) -> Column:
     return text_or_empty(x).rlike(CITATION_SHAPE)
 
 
+def once(x: Column, build) -> Column:
+    """build(x) with x evaluated once, however often build uses it."""
+    return F.transform(F.array(x), build)[0]
+
+
 def title_score(x: Column) -> Column:
     """The sum of seven signals of a heading."""
-    text = collapse(x)
-    tokens = split_words(text)
-    letters = F.transform(F.regexp_extract_all(text, F.lit(r"[a-zA-Z]+"), 0), F.lower)
-    capitals = F.size(F.filter(tokens, lambda t: t.rlike(r"^[A-Z][a-zA-Z0-9\-]*$")))
-    stops = F.size(F.filter(letters, lambda t: t.isin(TITLE_STOPS)))
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
     signal = lambda condition, weight: F.when(condition, weight).otherwise(0)
-    return (
-        signal((F.length(text) <= 80) & (spaces <= 12), 2)
-        + signal(~text.rlike(r"[.!?]$"), 1)
-        + signal(capitals / F.greatest(F.lit(1), F.size(tokens)) >= 0.40, 1)
-        + signal(stops / F.greatest(F.lit(1), F.size(letters)) <= 0.18, 1)
-        + signal(~text.rlike("[,;:]"), 1)
-        + signal(text.rlike(HEADING), 2)
-        + signal(text.rlike(NUMBERED_HEADING), 2)
-    )
+
+    def scored(s: Column) -> Column:
+        text, tokens, letters = s["text"], s["tokens"], s["letters"]
+        capitals = F.size(F.filter(tokens, lambda t: t.rlike(r"^[A-Z][a-zA-Z0-9\-]*$")))
+        stops = F.size(F.filter(letters, lambda t: t.isin(TITLE_STOPS)))
+        spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+        return (
+            signal((F.length(text) <= 80) & (spaces <= 12), 2)
+            + signal(~text.rlike(r"[.!?]$"), 1)
+            + signal(capitals / F.greatest(F.lit(1), F.size(tokens)) >= 0.40, 1)
+            + signal(stops / F.greatest(F.lit(1), F.size(letters)) <= 0.18, 1)
+            + signal(~text.rlike("[,;:]"), 1)
+            + signal(text.rlike(HEADING), 2)
+            + signal(text.rlike(NUMBERED_HEADING), 2)
+        )
+
+    letters = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"[a-zA-Z]+"), 0), F.lower)
+    return once(collapse(x), lambda text: once(F.struct(text.alias("text"), split_words(text).alias("tokens"), letters(text).alias("letters")), scored))
 
 
 def is_title(x: Column) -> Column:
@@ -215,7 +223,7 @@ def semantic_hook(x: Column, limit: int = 12) -> Column:
     """Without a trailing see/per/under/subject-to clause, citations and outer punctuation; at most ``limit`` words."""
     bare = F.regexp_replace(F.regexp_replace(strip(text_or_empty(x)), CLAUSE_TAIL, ""), CITATION_TOKEN, "")
     clean = strip(F.regexp_replace(bare, r"\s+", " "), " ,.;:-")
-    return F.when(word_count(clean) > limit, first_words(clean, limit)).otherwise(clean)
+    return once(clean, lambda c: F.when(word_count(c) > limit, first_words(c, limit)).otherwise(c))
 
 
 def hook_or_phrase(hook: Column, source: Column) -> Column:

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenqa.session import shared_dir
+
 TOKEN = r"[a-z0-9]+"
 BROADCAST_QUERIES = 64 << 20  # bytes of query vectors that may go to every task at once
+SEARCH_CELLS = 1 << 22  # scores a task holds at once
 
 
 def tokens(x: Column) -> Column:
@@ -23,48 +26,68 @@ def top_k(scored: DataFrame, k: int, by: list[str], *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(passages: DataFrame) -> DataFrame:
-    """(pid, term, tf) of passages (pid, text)."""
-    return passages.select("pid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("pid", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(passages: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(qid, pid, score, rank): the k best passages of each query by BM25 with idf ln(1 + (N - df + .5) / (df + .5)).
+def matches(passages: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings that queries (qid, query) meet in passages (pid, text): qid, terms, pid, term, tf, df, size, and the collection's n and avg_size.
 
-    Only postings of query terms take part. Collection statistics are one row, attached by an aggregate of one row;
-    document frequencies join by term, so a common term is skewed only as far as its postings are. Ties go to the lower pid.
+    Only postings of query terms are kept. Collection statistics are one row, attached by an aggregate of one row;
+    document frequencies join by term, so a common term is skewed only as far as its postings are.
     """
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    sized = passages.select("pid", F.size(tokens(F.col("text"))).alias("size"), "text")
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg_size"))
-    wanted = sized.select("pid", "size", F.explode(tokens(F.col("text"))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = queries.select("qid", F.array_distinct(tokens(F.col("query"))).alias("ts"))
+    terms = asked.select("qid", F.size("ts").alias("terms"), F.explode("ts").alias("term"))
+    stats = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))).alias("avg_size"))
+    worded = passages.select("pid", tokens(F.col("text")).alias("w")).select("pid", F.size("w").alias("size"), F.explode("w").alias("term"))
+    wanted = worded.join(terms.select("term").distinct(), "term", "left_semi")
     tf = wanted.groupBy("term", "pid", "size").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    one = F.broadcast(stats)  # a single row
+    return terms.join(tf.join(df, "term").join(F.broadcast(stats)), "term")  # stats are a single row
+
+
+def bm25_weight(k1: float, b: float) -> Column:
+    """What one posting of ``matches`` adds to BM25, with idf ln(1 + (N - df + .5) / (df + .5))."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
-    weighed = tf.join(df, "term").join(one).select("term", "pid", (idf * gain).alias("w"))
-    scored = terms.join(weighed, "term").groupBy("qid", "pid").agg(F.round(F.sum("w"), 9).alias("score"))
+    return idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
+
+
+def bm25(passages: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """(qid, pid, score, rank): the k best passages of each query by BM25. Ties go to the lower pid."""
+    scored = matches(passages, queries).groupBy("qid", "pid").agg(F.round(F.sum(bm25_weight(k1, b)), 9).alias("score"))
     return top_k(scored, k, ["qid"], "pid")
 
 
-def block_search(queries: tuple[np.ndarray, np.ndarray], k: int):
-    """Arrow function: the k best of each task's vectors for each query, block by block."""
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of scores, ties to the lower id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def block_search(queries, k: int):
+    """Arrow function: the k best of each task's vectors for each query, in blocks of SEARCH_CELLS scores at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = queries.value
         best_s, best_i = np.full((len(qids), k), -np.inf), np.full((len(qids), k), np.iinfo(np.int64).max)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(qids):
                 continue
             ids = np.asarray(batch.column(0))
             v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            s = np.round(q @ v.T, 9)
-            s[qids[:, None] == ids[None, :]] = -np.inf
-            all_s, all_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(ids, s.shape)])
-            order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+            rows = max(1, SEARCH_CELLS // len(v))
+            for at in range(0, len(qids), rows):
+                part = slice(at, at + rows)
+                s = np.round(q[part] @ v.T, 9)
+                s[qids[part, None] == ids[None, :]] = -np.inf
+                better = np.flatnonzero(s.max(axis=1) >= best_s[part, -1])  # the others keep what they have
+                if not len(better):
+                    continue
+                new_s, new_i = s[better], np.broadcast_to(ids, (len(better), len(ids)))
+                if new_s.shape[1] > 4 * k:  # all that reach the k-th score stay, so ties are decided by id below
+                    least = np.partition(new_s, -k, axis=1)[:, -k]
+                    wide = int((new_s >= least[:, None]).sum(axis=1).max())
+                    pick = np.argpartition(-new_s, wide - 1, axis=1)[:, :wide]
+                    new_s, new_i = np.take_along_axis(new_s, pick, 1), np.take_along_axis(new_i, pick, 1)
+                at_rows = better + at
+                best_s[at_rows], best_i[at_rows] = best_of(np.hstack([best_s[at_rows], new_s]), np.hstack([best_i[at_rows], new_i]), k)
         found = np.isfinite(best_s)
         row = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[found]), pa.array(best_s[found])], names=["qid", "pid", "score"])
@@ -72,23 +95,30 @@ def block_search(queries: tuple[np.ndarray, np.ndarray], k: int):
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = BROADCAST_QUERIES) -> DataFrame:
     """(qid, pid, score, rank): exact cosine search of queries (qid, vector) in vectors (pid, vector), a query's own pid left out.
 
-    Query vectors up to BROADCAST_QUERIES bytes go to every task, and each task sends k rows a query. More queries than
-    that are taken in several passes of that size, so memory stays bounded at any number of queries.
+    Query vectors up to ``query_bytes`` go to every task, and each task sends k rows a query. More queries than that are
+    taken in passes, one after another: each pass collects and broadcasts its own share of the queries alone and is
+    checkpointed before the next, so driver and executors never hold more than one share.
     """
     spark = vectors.sparkSession
     n = queries.count()
     width = len((queries.select("vector").first() or [[]])[0])
-    passes = max(1, -(-n * max(width, 1) * 8 // BROADCAST_QUERIES))
+    passes = max(1, -(-n * max(width, 1) * 8 // query_bytes))
+    if passes > 1:
+        shared_dir(spark)
     parts = []
     for i in range(passes):
         rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).select("qid", "vector").toPandas()
         q = np.stack(rows["vector"]).astype(np.float64) if len(rows) else np.zeros((0, width))
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(np.int64), q))
-        parts.append(vectors.select(F.col("pid").cast("long"), "vector").mapInArrow(block_search(shared, k), "qid long, pid long, score double"))
+        part = vectors.select(F.col("pid").cast("long"), "vector").mapInArrow(block_search(shared, k), "qid long, pid long, score double")
+        if passes > 1:
+            part = top_k(part, k, ["qid"], "pid").drop("rank").checkpoint()
+            shared.destroy()
+        parts.append(part)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -72,11 +72,11 @@ def j6(t):
 
 @query(
     "j8_j9_contexts_in_order",
-    f"WITH {V.RUNS} SELECT r.qid, string_agg(d.doc_id || ':' || left(d.text, 20), '|' ORDER BY rank, d.doc_id) AS contexts, count(*) AS n FROM runs r JOIN documents d ON d.doc_id = r.docid WHERE run = 'run3' AND rank <= 4 GROUP BY r.qid",
+    f"WITH {V.RUNS} SELECT r.qid, string_agg(d.doc_id || ':' || d.text, '|' ORDER BY rank, d.doc_id) AS contexts, count(*) AS n FROM runs r JOIN documents d ON d.doc_id = r.docid WHERE run = 'run3' AND rank <= 4 GROUP BY r.qid",
 )
 def j8(t):
     top = V.runs(t).where("run = 'run3' AND rank <= 4").select("qid", "rank", F.col("docid").alias("doc_id"))
-    text = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.substring("text", 1, 20))
+    text = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text"))
     got = top.join(t("documents").select("doc_id", "text"), "doc_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", text.alias("c")))).alias("c"), count().alias("n"))
     return got.select("qid", F.array_join(F.transform("c", lambda x: x["c"]), "|").alias("contexts"), "n")
 
@@ -386,14 +386,14 @@ def l10(t):
 
 @query("w2_running_hits", f"WITH {V.RUNS}, {V.RUN_QRELS} SELECT r.run, r.qid, r.rank, CAST(sum(CASE WHEN q.docid IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r.run, r.qid ORDER BY r.rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seen FROM runs r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid")
 def w2(t):
-    rel = V.run_qrels(t).withColumn("rel", F.lit(1))
+    rel = V.contained(t).withColumn("rel", F.lit(1))
     w = Window.partitionBy("run", "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return V.runs(t).join(rel, ["qid", "docid"], "left").select("run", "qid", "rank", F.sum(F.coalesce("rel", F.lit(0))).over(w).alias("seen"))
 
 
-@query("n21_prompts", f"WITH {V.QA} SELECT qid, concat('Question: ', question, chr(10), 'Contexts:', chr(10), '[1] ', left(answer, 40), chr(10), '[2] ', left(question, 40)) AS prompt FROM qa")
+@query("n21_prompts", f"WITH {V.QA} SELECT qid, concat('Question: ', question, chr(10), 'Contexts:', chr(10), '[1] ', answer, chr(10), '[2] ', question) AS prompt FROM qa")
 def n21(t):
     from lumenqa.functions.prompts import answer_prompt
 
-    contexts = F.array(F.substring("answer", 1, 40), F.substring("question", 1, 40))
+    contexts = F.array("answer", "question")
     return V.qa_pairs(t).select("qid", answer_prompt(F.col("question"), contexts).alias("prompt"))

@@ -39,4 +39,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from lumenqa.plans import dataset_queries, judge_queries, retrieval_queries, text_queries  # noqa: E402, F401
+from lumenqa.plans import dataset_queries, judge_queries, retrieval_queries, source_queries, text_queries  # noqa: E402, F401

@@ -9,12 +9,7 @@ from lumenqa.operators import retrieval as R
 from lumenqa.plans import views as V
 from lumenqa.plans.registry import query
 
-BM25 = """
-tk AS (SELECT doc_id AS pid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM tk),
-qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
-tf AS (SELECT pid, sz, term, count(*) AS tf FROM (SELECT pid, len(w) AS sz, unnest(w) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+BM25 = V.BM25_TERMS + """,
 sc AS (SELECT qid, pid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * sz / av))), 9) AS score
        FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, pid),
 bm AS (SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc) WHERE rank <= {k})"""
@@ -25,25 +20,6 @@ def r1(t):
     return R.bm25(V.passages(t), V.queries(t), 10).select("qid", "pid", F.round("score", 6).alias("score"), "rank")
 
 
-CONTAINED = "cq AS (SELECT item_id AS qid, doc_id AS docid FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-
-
-def contained(t):
-    """qrels: the passages that contain a query's whole text.
-
-    A passage that contains it has all its tokens but perhaps the outer two, so the rarest inner one finds every candidate
-    by an equi-join.
-    """
-    inner = V.queries(t).withColumn("w", R.tokens(F.col("query")))
-    inner = inner.select("qid", "query", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))).alias("term"))
-    terms = V.passages(t).select("pid", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    terms = terms.join(inner.select("term").distinct(), "term", "left_semi")
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = inner.join(df, "term").groupBy("qid", "query").agg(F.min(F.struct("df", "term")).alias("m")).select("qid", "query", F.col("m.term").alias("term"))
-    found = rarest.join(terms, "term").join(V.passages(t).select("pid", "text"), "pid")
-    return found.where(F.col("text").contains(F.col("query"))).select("qid", F.col("pid").alias("docid"))
-
-
 METRICS = """
 rel AS (SELECT DISTINCT qid, docid FROM {qrels}), nr AS (SELECT qid, count(*) AS num_rel FROM rel GROUP BY qid),
 mk AS (SELECT r.qid, r.pos, CASE WHEN rel.docid IS NULL THEN 0 ELSE 1 END AS rel FROM rk r LEFT JOIN rel ON r.qid = rel.qid AND r.docid = rel.docid),
@@ -53,10 +29,10 @@ pq AS (SELECT nr.qid, num_rel, CAST(coalesce(hits, 0) AS BIGINT) AS hits, round(
        round(coalesce(dcg / list_sum(list_transform(range(1, least(num_rel, {k}) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM nr {join} sm USING (qid))"""
 
 
-@query("m1_m3_bm25_metrics", f"WITH {BM25.format(k=10)}, {CONTAINED}, rk AS (SELECT qid, pid AS docid, rank AS pos FROM bm), {METRICS.format(qrels='cq', k=10, join='LEFT JOIN')} SELECT * FROM pq")
+@query("m1_m3_bm25_metrics", f"WITH {BM25.format(k=10)}, {V.RUN_QRELS}, rk AS (SELECT qid, pid AS docid, rank AS pos FROM bm), {METRICS.format(qrels='qrels', k=10, join='LEFT JOIN')} SELECT * FROM pq")
 def m1_bm25(t):
     run = R.bm25(V.passages(t), V.queries(t), 10).withColumnRenamed("pid", "docid")
-    return M.per_query(run, contained(t), 10, "concordance")
+    return M.per_query(run, V.contained(t), 10, "concordance")
 
 
 RANKED = {
@@ -73,7 +49,7 @@ def add_variant(variant: str) -> None:
 
     @query(f"m1_m5_metrics_{variant}", f"WITH {V.RUNS}, {V.RUN_QRELS}, {RANKED[variant]}, {METRICS.format(qrels='qrels', k=10, join=join)} SELECT * FROM pq")
     def build(t):
-        return M.per_query(V.runs(t).where("run = 'run1'"), V.run_qrels(t), 10, variant, both)
+        return M.per_query(V.runs(t).where("run = 'run1'"), V.contained(t), 10, variant, both)
 
 
 for name in RANKED:
@@ -86,7 +62,7 @@ for name in RANKED:
     "SELECT count(*) AS num_queries, round(avg(recall), 6) AS mean_recall, round(avg(ap), 6) AS mean_ap, round(avg(ndcg), 6) AS mean_ndcg FROM pq",
 )
 def m4(t):
-    return M.macro(M.per_query(V.runs(t).where("run = 'run1'"), V.run_qrels(t), 10, "eval"))
+    return M.macro(M.per_query(V.runs(t).where("run = 'run1'"), V.contained(t), 10, "eval"))
 
 
 DENSE = """
@@ -110,12 +86,15 @@ def r2(t):
 
 @query(
     "r4_two_stage_rerank",
-    f"""WITH {V.RUNS}, sc AS (SELECT r.qid, r.docid AS pid, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 9) AS score
-    FROM (SELECT * FROM runs WHERE run = 'run0' AND rank <= 15) r JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a ON a.vec_id = r.qid JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON b.vec_id = r.docid)
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS qid, e AS qe FROM e WHERE vec_id % 25 = 0),
+    fs AS (SELECT qid, pid, qe, e, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM (
+      SELECT qid, vec_id AS pid, qe, e, round(list_dot_product(qe[1:16], e[1:16]) / sqrt(list_dot_product(qe[1:16], qe[1:16]) * list_dot_product(e[1:16], e[1:16])), 9) AS score FROM q, e WHERE qid <> vec_id)),
+    sc AS (SELECT qid, pid, round(list_dot_product(qe, e) / sqrt(list_dot_product(qe, qe) * list_dot_product(e, e)), 9) AS score FROM fs WHERE rank <= 15)
     SELECT qid, pid, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc) WHERE rank <= 5""",
 )
 def r4(t):
-    first = V.runs(t).where("run = 'run0'").withColumnRenamed("docid", "pid")
+    short = lambda x: x.withColumn("vector", F.slice("vector", 1, 16))
+    first = R.dense(short(vectors(t)), short(vector_queries(t)), 15)
     return R.rerank(first, vectors(t), vector_queries(t), 15, 5).select("qid", "pid", F.round("score", 6).alias("score"), "rank")
 
 
@@ -162,7 +141,7 @@ ht AS (SELECT tp.run, tp.qid, any_value(num_rel) AS num_rel, count(q.docid) AS r
 
 
 def hits(t):
-    return M.hits_per_run(V.runs(t), V.run_qrels(t))
+    return M.hits_per_run(V.runs(t), V.contained(t))
 
 
 @query("a12_hits_per_run", f"WITH {HITS} SELECT * FROM ht")

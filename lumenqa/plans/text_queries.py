@@ -164,27 +164,18 @@ TITLE = f"""(CASE WHEN length(x) <= 80 AND length(x) - length(replace(x, ' ', ''
  + CASE WHEN regexp_matches(x, '{T.NUMBERED_HEADING}') THEN 2 ELSE 0 END)"""
 
 
-@query(
-    "t1_f4_titles",
-    f"""WITH s AS (SELECT doc_id, {COLLAPSE.format("CASE doc_id % 5 WHEN 0 THEN left(text, 60) WHEN 1 THEN 'PART ' || CAST(doc_id AS VARCHAR) || '.2' WHEN 2 THEN 'Definitions' ELSE text END")} AS x FROM documents)
-    SELECT doc_id, {TITLE} AS points, x = '' OR {TITLE} >= 3 AS title FROM s""",
-)
+@query("t1_f4_titles", f"WITH s AS (SELECT doc_id, {COLLAPSE.format('text')} AS x FROM documents) SELECT doc_id, {TITLE} AS points, x = '' OR {TITLE} >= 3 AS title FROM s")
 def t1(t):
-    k = F.col("doc_id") % 5
-    x = F.when(k == 0, F.substring("text", 1, 60)).when(k == 1, F.concat(F.lit("PART "), F.col("doc_id").cast("string"), F.lit(".2"))).when(k == 2, "Definitions").otherwise(F.col("text"))
-    return t("documents").select("doc_id", x.alias("x")).select("doc_id", T.title_score(F.col("x")).alias("points"), T.is_title(F.col("x")).alias("title"))
+    return t("documents").select("doc_id", T.title_score(F.col("text")).alias("points"), T.is_title(F.col("text")).alias("title"))
 
 
 @query(
     "t2_t8_t9_citations",
-    f"""SELECT page_id, regexp_matches(x, '{T.CITATION_SHAPE}') AS shape, regexp_matches(x, '{T.JUDGE_CITATION}') AS judge, regexp_matches(x, '{T.INSPECTION_CITATION}') AS inspection
-    FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'See Rule 3.4.1(2)' WHEN 1 THEN 'within 30 days' WHEN 2 THEN 'article 5 of it' ELSE html END AS x FROM pages)""",
+    f"SELECT page_id, regexp_matches(html, '{T.CITATION_SHAPE}') AS shape, regexp_matches(html, '{T.JUDGE_CITATION}') AS judge, regexp_matches(html, '{T.INSPECTION_CITATION}') AS inspection FROM pages",
 )
 def t2_t8_t9(t):
-    k = F.col("page_id") % 5
-    p = t("pages").select("page_id", F.when(k == 0, "See Rule 3.4.1(2)").when(k == 1, "within 30 days").when(k == 2, "article 5 of it").otherwise(F.col("html")).alias("x"))
-    x = F.col("x")
-    return p.select("page_id", T.looks_like_citation(x).alias("shape"), T.has_judge_citation(x).alias("judge"), T.has_inspection_citation(x).alias("inspection"))
+    x = F.col("html")
+    return t("pages").select("page_id", T.looks_like_citation(x).alias("shape"), T.has_judge_citation(x).alias("judge"), T.has_inspection_citation(x).alias("inspection"))
 
 
 HOOK = f"{STRIP.format(chr(123) + '0' + chr(125))}"
@@ -192,17 +183,15 @@ HOOK = f"{STRIP.format(chr(123) + '0' + chr(125))}"
 
 @query(
     "t3_t4_t5_hooks",
-    f"""WITH h AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(left(text, 50), ' under Rule 5.1(2) or section ', CAST(doc_id % 9 AS VARCHAR), '.2 (see Part 4)') END AS hook FROM documents),
+    f"""WITH h AS (SELECT doc_id, text, text AS hook FROM documents),
     c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace({STRIP.format('hook')}, '{T.CLAUSE_TAIL}', ''), '{T.CITATION_TOKEN}', '', 'g'), '\\s+', ' ', 'g'), ' ,.;:-') AS x FROM h),
     s AS (SELECT doc_id, text, CASE WHEN len({WORDS.format('x')}) > 12 THEN array_to_string({WORDS.format('x')}[1:12], ' ') ELSE x END AS x FROM c)
     SELECT doc_id, coalesce(nullif(x, ''), {COLLAPSE.format("regexp_extract(text, '[A-Za-z][A-Za-z ,''\\-\\(\\)]{20,120}', 0)")}) AS hook,
-    coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN ' Rule 1 ' ELSE '' END), ''), 'model hook') AS citation FROM s""",
+    coalesce(nullif({STRIP.format('text')}, ''), 'model hook') AS citation FROM s""",
 )
 def t3_t5(t):
-    tail = F.concat(F.substring("text", 1, 50), F.lit(" under Rule 5.1(2) or section "), (F.col("doc_id") % 9).cast("string"), F.lit(".2 (see Part 4)"))
-    d = t("documents").withColumn("hook", F.when(F.col("doc_id") % 3 == 0, "").otherwise(tail))
-    reference = F.when(F.col("doc_id") % 2 == 0, " Rule 1 ").otherwise("")
-    return d.select("doc_id", T.hook_or_phrase(T.semantic_hook(F.col("hook")), F.col("text")).alias("hook"), T.citation_hook(reference, F.lit("model hook")).alias("citation"))
+    x = F.col("text")
+    return t("documents").select("doc_id", T.hook_or_phrase(T.semantic_hook(x), x).alias("hook"), T.citation_hook(x, F.lit("model hook")).alias("citation"))
 
 
 @query(
@@ -276,11 +265,22 @@ def m7(t):
     return gold_pairs(t).select("qid", F.round(O.token_f1(F.col("gold"), F.col("answer"), "plain"), 6).alias("f1"))
 
 
-@query("m8_m10_rouge_l_squad")
+def rouge_sql(tokens: str, both_empty: str) -> str:
+    """The longest common subsequence row by row: the best of going on, of skipping, and of what stands to the left."""
+    a, b = tokens.format("gold"), tokens.format("answer")
+    return f"""{PREVIOUS.replace("WITH ", "WITH RECURSIVE ")}, k AS (SELECT qid, {a} AS a, {b} AS b FROM p),
+    dp AS (SELECT qid, a, b, 0 AS i, list_transform(range(0, len(a) + 1), lambda x: 0::BIGINT) AS row FROM k
+      UNION ALL SELECT qid, a, b, i + 1, list_concat([0::BIGINT], list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])))
+      FROM (SELECT *, list_transform(range(1, len(a) + 1), lambda h: greatest(row[h + 1], row[h] + CASE WHEN a[h] = b[i + 1] THEN 1 ELSE 0 END)) AS c FROM dp WHERE i < len(b))),
+    l AS (SELECT qid, len(a) AS n, len(b) AS m, row[len(a) + 1] AS s FROM dp WHERE i = len(b))
+    SELECT qid, round(CASE WHEN n = 0 AND m = 0 THEN {both_empty} WHEN n = 0 OR m = 0 OR s = 0 THEN 0.0 ELSE 2.0 * s / (n + m) END, 6) AS rouge_l FROM l"""
+
+
+@query("m8_m10_rouge_l_squad", rouge_sql(WORDS.format(SQUAD), "0.0"))
 def m8(t):
     return gold_pairs(t).select("qid", F.round(O.rouge_l(F.col("gold"), F.col("answer"), "squad"), 6).alias("rouge_l"))
 
 
-@query("m9_m10_rouge_l_plain")
+@query("m9_m10_rouge_l_plain", rouge_sql(WORDS.format("lower({0})"), "1.0"))
 def m9(t):
     return gold_pairs(t).select("qid", F.round(O.rouge_l(F.col("gold"), F.col("answer"), "plain"), 6).alias("rouge_l"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenqa.operators import retrieval as R
+
 
 def passages(t) -> DataFrame:
     """documents as passages: pid, text, document (source), lang."""
@@ -56,33 +58,70 @@ votes AS (SELECT l_orderkey AS qid, 'judge' || CAST(l_suppkey % 3 AS VARCHAR) AS
           FROM lineitem)"""
 
 
-def runs(t) -> DataFrame:
-    """Five synthetic runs of vector neighbours: run, qid, docid, rank, score. Ranks come from integer arithmetic.
-
-    Docids are spread over as many ids as the table has rows; RUNS spreads them over 500, the rows of the small tables.
-    """
-    e = t("embeddings").select(F.col("vec_id").cast("long").alias("vec_id"))
-    asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"))
-    spread = asked.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    spread = spread.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))))
-    docid = (F.col("qid") * 7 + F.col("j") * (F.col("r") * 2 + 3) + F.col("r")) % F.col("n")
-    return spread.select(
-        F.concat(F.lit("run"), F.col("r").cast("string")).alias("run"), "qid", docid.cast("long").alias("docid"), F.col("j").alias("rank"), (1.0 / F.col("j")).alias("score")
-    )
+DEPTH = 20
 
 
-RUNS = """
-runs AS (SELECT 'run' || CAST(r AS VARCHAR) AS run, vec_id AS qid, CAST((vec_id * 7 + j * (r * 2 + 3) + r) % 500 AS BIGINT) AS docid, CAST(j AS INT) AS rank, 1.0 / j AS score
-         FROM embeddings, range(1, 21) a(j), range(0, 5) b(r) WHERE vec_id % 25 = 0)"""
+def contained(t) -> DataFrame:
+    """qrels: the passages that contain a query's whole text.
 
+    A passage that contains it has all its tokens but perhaps the outer two, so the rarest inner one finds every candidate
+    by an equi-join.
+    """
+    inner = queries(t).withColumn("w", R.tokens(F.col("query")))
+    inner = inner.select("qid", "query", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))).alias("term"))
+    terms = passages(t).select("pid", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
+    terms = terms.join(inner.select("term").distinct(), "term", "left_semi")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(df, "term").groupBy("qid", "query").agg(F.min(F.struct("df", "term")).alias("m")).select("qid", "query", F.col("m.term").alias("term"))
+    found = rarest.join(terms, "term").join(passages(t).select("pid", "text"), "pid")
+    return found.where(F.col("text").contains(F.col("query"))).select("qid", F.col("pid").alias("docid"))
 
-def run_qrels(t) -> DataFrame:
-    """Relevant: vectors of the query's label, itself excluded; RUN_QRELS keeps those below 500 alone."""
-    e = t("embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "label")
-    asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "label")
-    return asked.join(e, "label").where("qid <> vec_id").select("qid", F.col("vec_id").alias("docid"))
 
+def runs(t) -> DataFrame:
+    """Five runs of the benchmark's items over all passages: run, qid, docid, rank, score, DEPTH deep.
 
-RUN_QRELS = """
-qrels AS (SELECT a.vec_id AS qid, b.vec_id AS docid FROM embeddings a JOIN embeddings b ON a.label = b.label
-          WHERE a.vec_id % 25 = 0 AND b.vec_id < 500 AND a.vec_id <> b.vec_id)"""
+    run0 is BM25; run1 BM25 with k1 1.2 and b 0.75; run2 the share of the query's terms that a passage has; run3 reranks
+    run0 by the share of the passage's tokens that are query terms; run4 fuses run0 and run2 by reciprocal ranks.
+    """
+    scores = (
+        R.matches(passages(t), queries(t))
+        .groupBy("qid", "pid")
+        .agg(
+            F.round(F.sum(R.bm25_weight(0.9, 0.4)), 9).alias("s0"), F.round(F.sum(R.bm25_weight(1.2, 0.75)), 9).alias("s1"),
+            F.round(F.count(F.lit(1)) / F.max("terms"), 9).alias("s2"), F.round(F.sum("tf") / F.max("size"), 9).alias("s3"),
+        )
+    )
+    best = [R.top_k(scores.withColumnRenamed(s, "score"), DEPTH, ["qid"], "pid") for s in ("s0", "s1", "s2")]
+    dense = R.top_k(best[0].select("qid", "pid", F.col("s3").alias("score")), DEPTH, ["qid"], "pid")
+    fused = R.rrf([best[0], best[2]], DEPTH)
+    each = [x.select(F.lit(f"run{i}").alias("run"), "qid", F.col("pid").alias("docid"), "rank", "score") for i, x in enumerate([*best, dense, fused])]
+    whole = each[0]
+    for x in each[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+BM25_TERMS = """
+tk AS (SELECT doc_id AS pid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM tk),
+qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
+tf AS (SELECT pid, sz, term, count(*) AS tf FROM (SELECT pid, len(w) AS sz, unnest(w) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+
+RUNS = f"""{BM25_TERMS}, qn AS (SELECT qid, count(*) AS terms FROM qt GROUP BY qid),
+ms AS (SELECT qid, pid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * sz / av))), 9) AS s0,
+       round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * sz / av))), 9) AS s1,
+       round(count(*) / any_value(terms), 9) AS s2, round(sum(tf) / any_value(sz), 9) AS s3
+       FROM qt JOIN qn USING (qid) JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, pid),
+f0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s0 DESC, pid) AS rank FROM ms) WHERE rank <= {DEPTH}),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, pid) AS rank FROM ms) WHERE rank <= {DEPTH}),
+f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s2 DESC, pid) AS rank FROM ms) WHERE rank <= {DEPTH}),
+f3 AS (SELECT qid, pid, s3, row_number() OVER (PARTITION BY qid ORDER BY s3 DESC, pid) AS rank FROM f0),
+f4 AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, pid) AS rank FROM (
+       SELECT qid, pid, round(sum(1.0 / (60 + rank)), 12) AS score, min({{'l': l, 'r': rank}}) AS seen
+       FROM (SELECT qid, pid, rank, 0 AS l FROM f0 UNION ALL SELECT qid, pid, rank, 1 FROM f2) GROUP BY qid, pid)),
+runs AS (SELECT run, qid, docid, CAST(rank AS INT) AS rank, score FROM (
+  SELECT 'run0' AS run, qid, pid AS docid, rank, s0 AS score FROM f0 UNION ALL SELECT 'run1', qid, pid, rank, s1 FROM f1
+  UNION ALL SELECT 'run2', qid, pid, rank, s2 FROM f2 UNION ALL SELECT 'run3', qid, pid, rank, s3 FROM f3 UNION ALL SELECT 'run4', qid, pid, rank, score FROM f4 WHERE rank <= {DEPTH}))"""
+
+RUN_QRELS = "qrels AS (SELECT item_id AS qid, doc_id AS docid FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

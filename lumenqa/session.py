@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +17,14 @@ def reachable(spark: SparkSession) -> None:
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, ROOT]))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A temporary one is set only on a local master without any; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

@@ -151,6 +151,43 @@ def run_name(path: Column) -> Column:
     )
 
 
+def run_meta(path: Column) -> Column:
+    """(method, subset, mode, retriever, model) that a per-QA file's name stands for."""
+    low = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    has = low.contains
+    retriever = run_name(F.regexp_replace(low, "bm25-?e5", "bm25_e5"))
+    return F.struct(
+        F.when(has("dpel"), "DPEL").when(has("schema"), "SCHEMA").otherwise("UNKNOWN").alias("method"),
+        F.when(has("kept"), "kept").when(has("elim"), "eliminated").otherwise("UNKNOWN").alias("subset"),
+        F.when(has("oracle"), "oracle").otherwise("realistic").alias("mode"),
+        retriever.alias("retriever"),
+        F.when(has("gpt4o") | has("gpt-4o"), "gpt4o").otherwise("UNKNOWN").alias("model"),
+    )
+
+
+def kept_run_meta(path: Column) -> Column:
+    """(method, retriever) of the per-QA files of kept questions, no oracle; null for any other file.
+
+    The name begins with the method and holds each part between underscores.
+    """
+    low = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    has = low.contains
+    method = F.when(low.startswith("dpel_"), "DPEL").when(low.startswith("schema_"), "SCHEMA")
+    retriever = (
+        F.when(has("_bm25_e5_rerank_"), "BM25_E5_RERANK").when(has("_hybrid_rrf_bm25_e5_"), "HYBRID_RRF")
+        .when(has("_bm25_"), "BM25").when(has("_bge_"), "BGE").when(has("_e5_"), "E5")
+    )
+    fits = low.endswith("_per_qa.jsonl") & method.isNotNull() & has("_kept_") & retriever.isNotNull() & ~has("_oracle_")
+    return F.when(fits, F.struct(method.alias("method"), retriever.alias("retriever")))
+
+
+def discovered(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path) of the files that a pattern names; their contents are not read."""
+    if not exists(spark, pattern):
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").load(pattern).select("path")
+
+
 def corpus(rows: DataFrame, strict: bool = True) -> DataFrame:
     """(pid, text, document_id, passage_id) from rows under any of the known names; the last of an id (by pos) wins; empty raises if strict."""
     pick = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in rows.columns], F.lit(None).cast("string"))
@@ -205,8 +242,12 @@ def keyed_lookup(rows: DataFrame) -> DataFrame:
 
 
 def per_qa_metrics(spark: SparkSession, path: str, names: list[str], missing_ok: bool = True) -> DataFrame:
-    """(qa_id, metrics...) as doubles, the last line of an id by its offset; an unreadable value is null."""
+    """(qa_id, metrics...) as doubles, the last line of an id by file name, block of the file and place in it; an unreadable value is null."""
     ddl = ", ".join(["qa_id string", *[f"{n} string" for n in names]])
-    rows = jsonl(spark, path, ddl, missing_ok=missing_ok).withColumn("pos", F.monotonically_increasing_id())
+    if missing_ok and not exists(spark, path):
+        return spark.createDataFrame([], ", ".join(["qa_id string", *[f"{n} double" for n in names]]))
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")).alias("pos")  # ids grow within a block
+    lines = spark.read.text(path).select("value", at).where(F.trim("value") != "")
+    rows = lines.select("pos", F.from_json("value", ddl).alias("r")).select("pos", "r.*")
     picked = rows.where("qa_id IS NOT NULL").groupBy("qa_id").agg(F.max_by(F.struct(*names), "pos").alias("r"))
     return picked.select("qa_id", *[F.col(f"r.{n}").try_cast("double").alias(n) for n in names])

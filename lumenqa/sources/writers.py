@@ -16,10 +16,10 @@ def jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None, sorted_union: bool = False) -> None:
-    """CSV with a header of the given columns, or of all columns by name; nested values as JSON. For reports, so in one file."""
+    """CSV with a header of the given columns, or of all columns by name; nested values as JSON. Every file has the header."""
     names = columns or (sorted(df.columns) if sorted_union else df.columns)
     flat = [F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("struct", "array", "map") else F.col(c) for c in names]
-    df.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
 def ragged(frames: list[DataFrame]) -> DataFrame:
@@ -31,12 +31,12 @@ def ragged(frames: list[DataFrame]) -> DataFrame:
 
 
 def pipe_table(df: DataFrame, path: str, order: list[str]) -> None:
-    """``a | b`` lines under a header and a rule of dashes."""
+    """``a | b`` lines under a header and a rule of dashes; the files follow each other in order, the first begins with the header."""
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
     header = " | ".join(df.columns)
-    lines = df.orderBy(*order).select(cells.alias("value")).coalesce(1)
+    lines = df.orderBy(*order).select(cells.alias("value"))
     top = df.sparkSession.createDataFrame([(header,), ("-" * len(header),)], "value string").coalesce(1)
-    top.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    top.unionByName(lines).write.mode("overwrite").text(path)
 
 
 def run_lines(run: DataFrame, tag: str) -> DataFrame:
@@ -75,9 +75,9 @@ def block(title: str, body: Column) -> Column:
 
 
 def markdown(items: DataFrame, path: str, title: Column, sections: dict[str, Column], order: list[str]) -> None:
-    """One section a QA, with the blocks that it has, in order; for samples, so in one file."""
+    """One section a QA, with the blocks that it has; the files follow each other in order."""
     text = F.concat_ws("\n", F.concat(F.lit("# "), title), *[block(k, v) for k, v in sections.items()])
-    items.orderBy(*order).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    items.orderBy(*order).select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def fixed_width(df: DataFrame, widths: dict[str, int]) -> DataFrame:

@@ -155,14 +155,57 @@ def test_wins_and_resume(spark):
     assert [r.k for r in reuse.collect()] == ["a"] and sorted(r.k for r in todo.collect()) == ["b", "c"]
 
 
-def test_runs_and_relevance_reach_every_vector(spark):
+def test_runs_and_relevance_reach_every_passage(spark):
     from lumenqa.plans import views as V
 
-    table = lambda name: spark.range(2000).selectExpr("id AS vec_id", "CAST(id % 4 AS INT) AS label")
-    asked = range(0, 2000, 25)
-    runs = {(r.run, r.qid, r["rank"], r.docid) for r in V.runs(table).collect()}
-    assert runs == {(f"run{r}", q, j, (q * 7 + j * (r * 2 + 3) + r) % 2000) for q in asked for j in range(1, 21) for r in range(5)}
-    assert {tuple(r) for r in V.run_qrels(table).select("qid", "docid").collect()} == {(q, d) for q in asked for d in range(q % 4, 2000, 4) if d != q}
+    n = 2000
+    texts = [(d, f"term{d} common words here" + (f" ask{d} for term{d} now" if d % 40 == 0 else "")) for d in range(n)]
+    docs = spark.createDataFrame([(d, t, "en", "s") for d, t in texts], "doc_id long, text string, lang string, source string")
+    items = spark.createDataFrame([(d, f"ask{d} for term{d} now") for d in range(0, n, 40)], "item_id long, text string")
+    table = {"documents": docs, "benchmark": items}.get
+    runs = V.runs(table)
+    best = {(r.run, r.qid): r.docid for r in runs.where("rank = 1").collect()}
+    assert best == {(f"run{i}", d): d for i in range(5) for d in range(0, n, 40)}
+    assert max(r["rank"] for r in runs.collect()) <= V.DEPTH
+    assert {tuple(r) for r in V.contained(table).collect()} == {(d, d) for d in range(0, n, 40)}
+
+
+def test_dense_search_in_passes_and_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from lumenqa.operators import retrieval as R
+
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=(900, 6)), 1)  # with ties
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "pid long, vector array<double>").repartition(5)
+    asked = rows.where("pid % 3 = 0").withColumnRenamed("pid", "qid")
+    monkeypatch.setattr(R, "SEARCH_CELLS", 1000)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    want = {(q, int(p), r + 1) for q in range(0, 900, 3) for r, p in enumerate(np.lexsort((np.arange(900), -s[q]))[:5])}
+    for limit in (1 << 20, 4000):  # one pass, and four
+        assert {(r.qid, r.pid, r["rank"]) for r in R.dense(rows, asked, 5, query_bytes=limit).collect()} == want
+
+
+def test_titles_of_every_branch(spark):
+    from lumenqa.functions import text as T
+
+    rows = [("PART 7.2", True), ("Definitions", True), ("", True), (None, True), ("The firm must, in any case, notify the regulator of this.", False)]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "x string").select(T.is_title(F.col("x")).alias("title"), T.citation_hook(F.col("x"), F.lit("h")).alias("c")).collect()
+    assert [r.title for r in got] == [y for _, y in rows] and [r.c for r in got][2:4] == ["h", "h"]
+    hook = spark.sql("SELECT 'capital rules under Rule 5.1(2) or section 3.2 (see Part 4)' AS x").select(T.semantic_hook(F.col("x"))).first()[0]
+    assert hook.startswith("capital rules") and "5.1" not in hook and "Part 4" not in hook
+
+
+def test_missing_ids_leave_out_taken_ones(spark):
+    from lumenqa.operators import curation as C
+
+    rows = [(1, "M_000002"), (2, None), (3, ""), (4, "M_000003"), (5, None), (6, "other"), (7, "M_7"), (8, "M_000005"), (9, None)]
+    got = {r.n: r.id for r in C.missing_ids(spark.createDataFrame(rows, "n int, id string"), "M", "n").collect()}
+    assert got == {1: "M_000002", 2: "M_000001", 3: "M_000004", 4: "M_000003", 5: "M_000006", 6: "other", 7: "M_7", 8: "M_000005", 9: "M_000007"}
+    fresh = C.missing_ids(spark.createDataFrame([(2, None), (1, None)], "n int, id string"), "M", "n")
+    assert {r.n: r.id for r in fresh.collect()} == {1: "M_000001", 2: "M_000002"}
 
 
 def test_fallback_spans_read_whole_texts(spark, tmp_path):

@@ -64,3 +64,40 @@ def test_stream_judges_each_key_once(spark, tmp_path):
 
 def test_pass_expansion():
     assert judging.passes(["m", "n"], 1, 2) == [("m", 1, "m@seed:1"), ("n", 1, "n@seed:1"), ("m", 2, "m@seed:2")]
+
+
+def test_http_completion_of_each_provider():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lumenqa.functions.scorers import HttpCompletion
+
+    shapes = {
+        "openai": lambda p: {"choices": [{"message": {"content": f" {p}! "}}]}, "anthropic": lambda p: {"content": [{"text": f"{p}!"}]},
+        "gemini": lambda p: {"candidates": [{"content": {"parts": [{"text": f"{p}!"}]}}]}, "hf": lambda p: {"generated_text": f"{p}!"},
+    }
+    asked = {
+        "openai": lambda b: b["messages"][0]["content"], "anthropic": lambda b: b["messages"][0]["content"],
+        "gemini": lambda b: b["contents"][0]["parts"][0]["text"], "hf": lambda b: b["inputs"],
+    }
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            provider = {"/v1/chat/completions": "openai", "/v1/messages": "anthropic", "/generate": "hf"}.get(self.path, "gemini")
+            prompt = asked[provider](body)
+            self.send_response(500 if prompt == "fail" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(shapes[provider](prompt)).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    for provider in shapes:
+        got = HttpCompletion(provider, base, "m", "k").complete(["hello", "fail"])
+        assert got[0] == "hello!" and got[1].startswith(f"[{provider.upper()}_API_ERROR]")
+    server.shutdown()

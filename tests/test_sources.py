@@ -120,3 +120,13 @@ def test_writers(spark, tmp_path):
     writers.markdown(df, f"{tmp_path}/m", F.col("docid"), {"Query": F.col("qid"), "None": F.lit("")}, ["rank"])
     assert "## None" not in "".join(r.value for r in spark.read.text(f"{tmp_path}/m").collect())
     assert writers.fixed_width(df, {"qid": 4, "rank": 3}).first().line == "q    1  "
+
+
+def test_discovery_and_last_line(spark, tmp_path):
+    for name in ("dpel_kept_bm25_x_per_qa.jsonl", "dpel_elim_e5_per_qa.jsonl", "notes.txt"):
+        (tmp_path / name).write_text('{"qa_id": "a", "f1": "0.1"}\n{"qa_id": "a", "f1": "x"}\n{"qa_id": "a", "f1": "0.5"}\n')
+    found = readers.discovered(spark, f"{tmp_path}/*_per_qa.jsonl").select(readers.run_meta(F.col("path")).alias("m"), readers.kept_run_meta(F.col("path")).alias("k")).collect()
+    assert sorted((r.m.method, r.m.subset, r.m.retriever, r.k and r.k.retriever) for r in found) == [("DPEL", "eliminated", "E5", None), ("DPEL", "kept", "BM25", "BM25")]
+    assert readers.discovered(spark, f"{tmp_path}/none*").count() == 0
+    assert readers.per_qa_metrics(spark, f"{tmp_path}/dpel_kept_bm25_x_per_qa.jsonl", ["f1"]).first().f1 == 0.5
+    assert readers.per_qa_metrics(spark, f"{tmp_path}/absent", ["f1"]).columns == ["qa_id", "f1"]
