@@ -1,6 +1,9 @@
 """Word-level language identification of code-switched text by a linear-chain conditional random field.
 
-A document's words are a chain (cut every CHAIN words, so chains are solved side by side). A word's score for a
+A document's words are one chain. For speed its blocks of CHAIN words are solved side by side: the product of a
+block's transitions carries the forward and backward messages over it, so cuts change nothing but the order of
+arithmetic. With more than MATRIX_LANGUAGES languages the products cost more than they save, and a chain is one block.
+A word's score for a
 language is the sum of learned weights of its affixes (first and last one to four bytes), its byte n-grams
 with word boundaries, and a lexicon feature (the whole word, if training saw it often enough); learned
 transitions say how likely a switch is. Forward-backward gives each word's distribution over languages; their sum
@@ -29,7 +32,7 @@ from lumenqa.llm.workspace import bounded_batches, extended, text_bytes, text_sl
 BUCKETS = 1 << 17
 CHAIN = 128
 LEXICON_COUNT = 3
-MAX_LANGUAGES = 64
+MATRIX_LANGUAGES = 16
 U = np.uint64
 
 
@@ -113,6 +116,52 @@ def marginals(scores: np.ndarray, start: np.ndarray, size: np.ndarray, switch: n
     return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300), pairs
 
 
+def chain_marginals(scores: np.ndarray, counts: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """Word marginals of whole documents of ``counts`` words by forward-backward over blocks."""
+    n, k = scores.shape
+    if not n or not k:
+        return np.zeros((n, k))
+    length = CHAIN if k <= MATRIX_LANGUAGES else int(counts.max())
+    start, size = chains(counts, length)
+    blocks = -(-counts // length)
+    first = np.cumsum(blocks) - blocks  # the first block of each document
+    opens = np.zeros(len(start), bool)
+    opens[first[blocks > 0]] = True
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    a = np.exp(switch - switch.max())
+    order = np.argsort(-size, kind="stable")
+    live = [int(np.searchsorted(-size[order], -t, side="left")) for t in range(int(size.max()))]  # blocks longer than t, in order
+    scaled = lambda x, axis: x / np.maximum(x.sum(axis=axis, keepdims=True), 1e-300)
+    into, after = np.full((len(start), k), 1 / k), np.ones((len(start), k))
+    if int(blocks.max()) > 1:
+        product = np.broadcast_to(np.eye(k), (len(start), k, k)).copy()
+        for t, m in enumerate(live):
+            at = order[:m]
+            moved = product[at] @ a
+            if t == 0:
+                moved[opens[at]] = product[at][opens[at]]
+            product[at] = scaled(moved * e[start[at] + t][:, None, :], (1, 2))
+        for j in range(1, int(blocks.max())):
+            b = first[blocks > j] + j
+            into[b] = scaled(np.einsum("bi,bij->bj", into[b - 1], product[b - 1]), 1)
+        for j in range(int(blocks.max()) - 1, 0, -1):
+            b = first[blocks > j] + j
+            after[b - 1] = scaled(np.einsum("bij,bj->bi", product[b], after[b]), 1)
+    alpha, beta = np.empty_like(scores), np.empty_like(scores)
+    for t, m in enumerate(live):
+        at = order[:m]
+        if t == 0:
+            came = np.where(opens[at][:, None], into[at], into[at] @ a)
+        else:
+            came = alpha[start[at] + t - 1] @ a
+        alpha[start[at] + t] = scaled(came * e[start[at] + t], 1)
+    beta[start + size - 1] = after
+    for t in range(len(live) - 1, 0, -1):
+        at = start[order[: live[t]]] + t
+        beta[at - 1] = scaled((e[at] * beta[at]) @ a.T, 1)
+    return scaled(alpha * beta, 1)
+
+
 def learn_weights(texts: list[str], labels: list[int], languages: list[str], rounds: int = 4, seed: int = 11) -> Model:
     """AdaGrad on spliced chains. Deterministic for a given sample."""
     rng = np.random.default_rng(seed)
@@ -169,9 +218,7 @@ def label_words(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[le
     text = letters.spelled(data, offsets)
     if not model.languages:
         return text, np.zeros((len(text.words.starts), 0))
-    scores = word_scores(model, text)
-    start, size = chains(np.diff(text.words.first), CHAIN)
-    return text, marginals(scores, start, size, model.switch)[0]
+    return text, chain_marginals(word_scores(model, text), np.diff(text.words.first), model.switch)
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -186,10 +233,12 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def decide(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
     """(language, score) of each text; ``und`` and 0 without a letter."""
     text, p = label_words(model, data, offsets)
-    sums = np.concatenate([np.zeros((1, len(model.languages))), np.cumsum(p, axis=0)])
-    first = text.words.first
-    share = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
-    known = has_letter(data, offsets) & (np.diff(first) > 0)
+    first, counts = text.words.first, np.diff(text.words.first)
+    share = np.zeros((len(counts), len(model.languages)))
+    if len(p):  # each document's sum by itself, so its score does not hang on its neighbours
+        share[counts > 0] = np.add.reduceat(p, first[:-1][counts > 0], axis=0) / counts[counts > 0, None]
+    share = np.round(share, 9)
+    known = has_letter(data, offsets) & (counts > 0)
     best = share.argmax(axis=1) if model.languages else np.zeros(len(known), int)
     names = [model.languages[b] if ok and model.languages else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
     return names, np.where(known, share.max(axis=1, initial=0.0), 0.0).clip(0, 1)
@@ -201,13 +250,15 @@ def held_out(doc_id: Column, folds: int = 4, out: int = 2) -> Column:
 
 
 def learn(docs: DataFrame, per_language: int = 300) -> Model:
-    """Train on at most ``per_language`` documents of each of the MAX_LANGUAGES commonest languages outside the held-out fold."""
+    """Train on at most ``per_language`` documents of every language outside the held-out fold.
+
+    The model has BUCKETS weights a language, so memory and time grow with the number of languages, and none is left out.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in common.collect())
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(languages)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    chosen = ids.select("doc_id", "lang").distinct()  # at most MAX_LANGUAGES * per_language rows
+    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    chosen = ids.select("doc_id", "lang").distinct()  # at most per_language rows a language
     rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).where("text is not null")
     found = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["lang"], str(r["doc_id"])))

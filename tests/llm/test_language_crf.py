@@ -26,6 +26,42 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
 
 
+def test_chains_are_whole_documents(monkeypatch):
+    """Blocks solved side by side give what one pass over each document gives, and enumeration on short ones."""
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 0, 7, 1, 130, 6, 0])
+    scores, switch = rng.normal(size=(counts.sum(), 3)) * 3, rng.normal(size=(3, 3))
+    start, size = crf.chains(counts, 10_000)
+    whole, _ = crf.marginals(scores, start, size, switch)
+    for length in (2, 3, 128):
+        monkeypatch.setattr(crf, "CHAIN", length)
+        assert np.allclose(crf.chain_marginals(scores, counts, switch), whole, atol=1e-12)
+    monkeypatch.setattr(crf, "MATRIX_LANGUAGES", 2)
+    assert np.allclose(crf.chain_marginals(scores, counts, switch), whole, atol=1e-12)
+
+
+def test_scores_do_not_hang_on_neighbours():
+    texts = ["the of and to in that is was " * 40, "le la des les une est dans que " * 30, "der die und das ist nicht ein " * 50, ""]
+    model = crf.learn_weights(texts[:3], [0, 1, 2], ["en", "fr", "de"])
+
+    def said(some):
+        raw = [t.encode() for t in some]
+        names, score = crf.decide(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+        return list(zip(names, score.tolist()))
+
+    assert said(texts) == [x for t in texts for x in said([t])]
+
+
+def test_every_language_can_be_predicted(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 6, f"l{i % 90:02d}") for i in range(720)]
+    rows = [(i, f"{chr(97 + i % 90 % 26) * 3}{chr(97 + i % 90 // 26) * 3} " * 6, lang) for i, _, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.learn(docs)
+    assert len(model.languages) == 90
+    out = crf.identified(docs, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.9
+
+
 def test_held_out_accuracy_and_code_switching(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = crf.learn(docs)
