@@ -1,15 +1,16 @@
 """Token ids in files of independent, interleaved rANS blocks with one shared frequency table.
 
-Writing goes in three steps. Texts are range-partitioned and sorted by doc_id, tokenised, and kept as 16-bit ids
-with their place in the partition; the ids are counted on the way. The counts over the whole corpus become one
+Writing goes in three steps. Texts are range-partitioned and sorted by doc_id, tokenised, and kept as ids of 16 bits (32
+for vocabularies beyond 65,536) with their place in the partition; the ids are counted on the way. The counts over the whole corpus become one
 static table (frequencies that add up to 2^SCALE, one at least for each id that occurs). Then the documents are cut,
 where they lie, into blocks of whole documents, and each block is coded alone: its tokens are dealt to LANES interleaved coders with 64-bit
 states and 32-bit words, so coding and decoding run as vectors.
 
 A block row holds everything to decode it without any other: the documents and their lengths, the global number of
 its first id, the coded words, the final states, checkpoints (states and word place every CHECKPOINT steps, so parts of
-a block can be decoded at the same time), and the crc32 of its ids and of its coded bytes. Blocks and table are Parquet
-files, which every store that Spark can write takes.
+a block can be decoded at the same time or alone), and the crc32 of its ids and of its coded bytes. Blocks and table are Parquet
+files, which every store that Spark can write takes; the files of blocks are in ascending doc_id order by name, and so are
+the blocks in each.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from lumenqa.llm.workspace import Workspace, text_bytes, text_slices
 SCALE = 20
 LANES, CHECKPOINT, BLOCK = 4096, 128, 1 << 20
 LOW = 1 << 31
+#: Input bytes, as the planner estimates them, for each range partition beyond spark.sql.shuffle.partitions.
+PART_BYTES, MOST_PARTS = 64 << 20, 100_000
 IDS = ["part", "place", "doc_id", "before", "n", "ids", "counts"]
 U = np.uint64
 
@@ -163,6 +166,8 @@ class LibraryEncoder:
     def __init__(self, path: str, limit: int = 250_000):
         self.splitter = Splitter(path)
         self.model = self.splitter.library.model
+        self.kind = np.dtype("<u2" if max(self.splitter.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.letters = byte_letters()
         self.cache = Cache(self.ids, limit)
         self.raw_cache = Cache(lambda raw: self.ids(raw.decode()), limit)
@@ -170,13 +175,13 @@ class LibraryEncoder:
     def ids(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
             word = "".join([self.letters[b] for b in word.encode("utf-8", "surrogateescape")])
-        return array("H", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         out, get = [], self.cache.__getitem__
         for mark, words in self.splitter.stretches(text):
             if mark is not None:
-                out.append(array("H", [self.splitter.special[mark]]).tobytes())
+                out.append(array(self.code, [self.splitter.special[mark]]).tobytes())
             out.extend(map(get, words))
         return b"".join(out)
 
@@ -197,12 +202,12 @@ class LibraryEncoder:
         first, back = told_apart(low, starts, ends, first, back)
         raw, get = low.tobytes(), self.raw_cache.__getitem__
         entries = [get(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sizes = np.array([len(e) >> 1 for e in entries], np.int64)
+        sizes = np.array([len(e) // self.kind.itemsize for e in entries], np.int64)
         own = sizes[back]
         done = np.cumsum(own)
-        flat = np.frombuffer(b"".join(entries), np.uint16)
+        flat = np.frombuffer(b"".join(entries), self.kind)
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - (done - own), own) + np.arange(int(own.sum()))].tobytes()
-        cut = np.concatenate([[0], done])[np.searchsorted(starts, offsets)] * 2
+        cut = np.concatenate([[0], done])[np.searchsorted(starts, offsets)] * self.kind.itemsize
         texts = column.to_pylist() if odd.any() else None
         return [self.encode(texts[d] or "") if odd[d] else ids[cut[d] : cut[d + 1]] for d in range(len(odd))]
 
@@ -219,12 +224,12 @@ def tokenised(path: str, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, place, before, total = encoder(path), TaskContext.get().partitionId(), 0, 0, np.zeros(1 << 16, np.int64)
-        end = np.uint16(end_id).tobytes()
+        coder, part, place, before, total = encoder(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
+        end = coder.kind.type(end_id).tobytes()
         for batch in batches:
             for piece in text_slices(batch, "text", 1_500_000):
                 ids = [x + end for x in coder.encode_slice(piece.column("text"))]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
+                n = np.array([len(x) // coder.kind.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(ids), part, np.int32)), pa.array(place + np.arange(len(ids), dtype=np.int64)), piece.column("doc_id"),
@@ -233,7 +238,7 @@ def tokenised(path: str, end_id: int):
                     names=IDS,
                 )
                 place, before = place + len(ids), before + int(n.sum())
-                total += np.bincount(np.frombuffer(b"".join(ids), np.uint16), minlength=1 << 16)
+                total = added(total, np.bincount(np.frombuffer(b"".join(ids), coder.kind)))
         if place:
             last = [[part], [place], [None], [before], [0], [None], [total.tobytes()]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -242,11 +247,19 @@ def tokenised(path: str, end_id: int):
     return run
 
 
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two counts by id, of which either may end earlier."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] = a
+    out[: len(b)] += b
+    return out
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for row in batch.column("counts").to_pylist():
-            total += np.frombuffer(row, np.int64)
+            total = added(total, np.frombuffer(row, np.int64))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
@@ -257,7 +270,7 @@ BLOCK_DDL = (
 )
 
 
-def blocks_of(table, offsets):
+def blocks_of(table, offsets, kind: np.dtype):
     """Arrow function: documents as they lie in the id files to coded blocks of whole documents that follow each other.
 
     A file's rows are in order, and a file may be read in several splits, so no shuffle is needed: a block ends where
@@ -265,18 +278,19 @@ def blocks_of(table, offsets):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, number = table.value, np.zeros(1 << 16, np.int64)
+        shared = table.value
+        number = np.zeros(int(shared.ids.max(initial=0)) + 1, np.int64)
         number[shared.ids] = np.arange(len(shared.ids))
         held, size, last = [], 0, None
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(r[3] for r in held), np.uint16)
+            ids = np.frombuffer(b"".join(r[3] for r in held), kind)
             coded, final, places, saved = encode_block(number[ids], shared)
             part, place = held[0][4:]
             row = {
                 "part": part, "place": place, "first": offsets.value[part] + held[0][1], "n": len(ids), "doc_ids": [r[0] for r in held],
                 "lengths": [r[2] for r in held], "coded": coded, "states": final, "places": places, "saved": saved,
-                "ids_crc32": zlib.crc32(ids.tobytes()), "coded_crc32": zlib.crc32(coded),
+                "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "coded_crc32": zlib.crc32(coded),
             }
             return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
 
@@ -307,7 +321,8 @@ def write_tokens(docs: DataFrame, work: Workspace, path: str, end_id: int = 1, p
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate, free of a scan
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MOST_PARTS))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
     ordered = slim.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     ids = work.table(ordered.mapInArrow(tokenised(path, end_id), "part int, place long, doc_id long, before long, n long, ids binary, counts binary"), "ids")
@@ -318,11 +333,48 @@ def write_tokens(docs: DataFrame, work: Workspace, path: str, end_id: int = 1, p
     for p in sorted(per_part):
         offsets[p], at = at, at + per_part[p]
     shared, starts = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(offsets)
-    blocks = work.table(ids.where("ids IS NOT NULL").drop("counts").mapInArrow(blocks_of(shared, starts), BLOCK_DDL), "blocks")
+    coded = ids.where("ids IS NOT NULL").drop("counts").mapInArrow(blocks_of(shared, starts, encoder(path).kind), BLOCK_DDL)
+    # a file of ids may be read in any order and in splits: its blocks go to the file of their own number, sorted
+    blocks = work.table(coded.repartitionById(max(per_part, default=0) + 1, F.col("part")).sortWithinPartitions("place"), "blocks")
     work.forget("ids")
     return blocks, table
 
 
+def decoded(row: dict, known: Table, slots: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids of a block from its parts ``first`` to ``last`` (all by default), each begun at its checkpoint; checksums are compared."""
+    where = f"block {row['part']}/{row['place']}"
+    if zlib.crc32(row["coded"]) != row["coded_crc32"]:
+        raise ValueError(f"{where}: coded bytes are damaged")
+    parts = len(row["places"]) + 1
+    wanted = range(first, parts if last is None else min(parts, last + 1))
+    symbols = [decode_block(row["coded"], row["states"], row["n"], known, slots, row["places"], row["saved"], p) for p in wanted]
+    ids = known.ids[np.concatenate(symbols)].astype("<u4")
+    if len(wanted) == parts and zlib.crc32(ids.tobytes()) != row["ids_crc32"]:
+        raise ValueError(f"{where}: ids are damaged")
+    return ids
+
+
+def read_ids(blocks: DataFrame, table: Table, lo: int, hi: int) -> DataFrame:
+    """(at, token_ids): the ids numbered lo to hi - 1 of the whole corpus, in stretches that begin at ``at``.
+
+    Only blocks that hold some are read, and of each only the parts between the checkpoints around them are decoded.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        slots = slot_table(known)
+        for batch in batches:
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
+                stretch = len(np.frombuffer(row["states"], U)) * CHECKPOINT  # ids of a part
+                a, b = max(lo - row["first"], 0), min(hi - row["first"], row["n"])
+                ids = decoded(row, known, slots, a // stretch, (b - 1) // stretch)[a - a // stretch * stretch :][: b - a]
+                yield pa.RecordBatch.from_arrays([pa.array([row["first"] + a], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["at", "token_ids"])
+
+    held = blocks.where((F.col("first") < hi) & (F.col("first") + F.col("n") > lo))
+    return held.drop("doc_ids", "lengths").mapInArrow(run, "at long, token_ids array<int>")
+
+
 def read_tokens(blocks: DataFrame, table: Table, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, token_ids]) from block files alone; a block that fails its checksums raises."""
     shared = blocks.sparkSession.sparkContext.broadcast(table)
@@ -333,12 +385,7 @@ def read_tokens(blocks: DataFrame, table: Table, with_ids: bool = False) -> Data
         slots = slot_table(known)
         for batch in batches:
             for row in (r for at in range(0, batch.num_rows, 8) for r in batch.slice(at, 8).to_pylist()):
-                if zlib.crc32(row["coded"]) != row["coded_crc32"]:
-                    raise ValueError(f"block {row['part']}/{row['place']}: coded bytes are damaged")
-                short = known.ids.astype(np.uint16)[decode_block(row["coded"], row["states"], row["n"], known, slots)]
-                if zlib.crc32(short.tobytes()) != row["ids_crc32"]:
-                    raise ValueError(f"block {row['part']}/{row['place']}: ids are damaged")
-                ids = short.astype("<u4")
+                ids = decoded(row, known, slots)
                 n = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(n)
                 cut = [ids[e - m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
@@ -349,4 +396,4 @@ def read_tokens(blocks: DataFrame, table: Table, with_ids: bool = False) -> Data
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return blocks.select("part", "place", "first", "n", "doc_ids", "lengths", "coded", "states", "ids_crc32", "coded_crc32").mapInArrow(run, ddl)
+    return blocks.select("part", "place", "first", "n", "doc_ids", "lengths", "coded", "states", "places", "saved", "ids_crc32", "coded_crc32").mapInArrow(run, ddl)

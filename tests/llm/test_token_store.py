@@ -75,3 +75,28 @@ def test_thue_morse_words_and_chained_results(spark):
     assert sorted(tuple(r) for r in out.where("doc_id >= 0").collect()) == expected(rows, Tokenizer.from_file(tokenizer_path()))
     assert out.limit(2).count() == 2
     work.drop()
+
+
+def test_ranges_of_ids_order_of_files_and_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 3000)
+    monkeypatch.setattr(T, "LANES", 4)
+    monkeypatch.setattr(T, "CHECKPOINT", 8)
+    rows = [(d, " ".join(f"word{d * i % 97}" for i in range(d % 60))) for d in range(300)]
+    work = Workspace(spark)
+    blocks, table = T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), work, tokenizer_path(), partitions=5)
+    library = Tokenizer.from_file(tokenizer_path())
+    whole = [i for _, t in rows for i in [*library.encode(t, add_special_tokens=False).ids, 1]]
+    for lo, hi in [(0, len(whole)), (17, 18), (2990, 6100), (len(whole) - 5, len(whole) + 9)]:
+        got = sorted((r["at"], r.token_ids) for r in T.read_ids(blocks, table, lo, hi).collect())
+        assert got[0][0] == lo and [i for _, x in got for i in x] == whole[lo:hi]
+    from pyspark.sql import functions as F
+
+    files = blocks.select(F.col("_metadata.file_name").alias("f"), "first", F.monotonically_increasing_id().alias("m")).orderBy("f", "m").collect()
+    assert len({r.f for r in files}) > 1 and [r["first"] for r in files] == sorted(r["first"] for r in files)
+    symbols = np.array([0, 1, 1, 2])
+    wide = T.Table.of_counts(np.array([5, 70_000, 4_000_000_000]), np.array([1, 2, 1]))
+    coded, final, places, saved = T.encode_block(symbols, wide)
+    row = {"part": 0, "place": 0, "coded": coded, "states": final, "n": 4, "places": places, "saved": saved, "coded_crc32": zlib.crc32(coded)}
+    row["ids_crc32"] = zlib.crc32(np.array([5, 70_000, 70_000, 4_000_000_000], "<u4").tobytes())
+    assert T.decoded(row, wide, T.slot_table(wide)).tolist() == [5, 70_000, 70_000, 4_000_000_000]
+    work.drop()
