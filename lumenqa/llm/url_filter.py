@@ -122,7 +122,7 @@ s AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path
 k AS (
   SELECT page_id, url, fetch_date, list_distinct(list_concat(
     list_transform(range(1, greatest(1, len(labels) - 1) + 1), lambda i: array_to_string(labels[i:], '.')),
-    list_transform(list_filter(range(1, 3), lambda i: i <= len(segs)), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS keys
+    list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[1:i], '/')))) AS keys
   FROM s WHERE host IS NOT NULL),
 a AS (SELECT page_id, url, fetch_date, unnest(keys) AS pattern FROM k),
 d AS (SELECT pattern, CAST(concat('0x', substr(md5(pattern), 1, 6)) AS BIGINT) AS h FROM (SELECT DISTINCT pattern FROM a)),
