@@ -23,7 +23,8 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     media = work.table(audio.stored(table(spark, sf_dir, "documents"), unit=64), "media")
-    found = audio.features(media, tail=64)
+    found = work.table(audio.features(media, tail=64), "features")  # with the tensors
+    work.forget("media")
     digest = F.concat_ws(
         ";",
         F.format_string("frames=%d", "frames"),

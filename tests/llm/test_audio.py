@@ -54,6 +54,31 @@ def test_segments_by_hysteresis():
         assert len(audio.segments(e)) == len(edges) // 2
 
 
+def test_log_mel_and_energies_equal_sums_over_samples():
+    """Frames, discrete Fourier sums, triangles and logarithms written out."""
+    rng = np.random.default_rng(5)
+    for n in (1, 299, 300, 301, 660, 1000):
+        y = rng.normal(size=n)
+        mel, energy = audio.log_mel(y)
+        frames = 1 + max(0, -(-(n - audio.FRAME) // audio.HOP))
+        assert mel.shape == (frames, audio.MELS) and len(energy) == frames
+        to_mel, back = (lambda f: 2595 * np.log10(1 + f / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
+        edges = [back(to_mel(audio.RATE_OUT / 2) * i / (audio.MELS + 1)) for i in range(audio.MELS + 2)]
+        for f in range(frames):
+            x = np.array([y[f * audio.HOP + i] if f * audio.HOP + i < n else 0.0 for i in range(audio.FRAME)])
+            assert abs(energy[f] - np.log(sum(v * v for v in x) / audio.FRAME + 1e-9)) < 1e-3
+            w = x * [0.5 - 0.5 * np.cos(2 * np.pi * i / (audio.FRAME - 1)) for i in range(audio.FRAME)]
+            at = np.arange(audio.FRAME)
+            power = [abs((w * np.exp(-2j * np.pi * k * at / audio.FFT)).sum()) ** 2 for k in range(audio.FFT // 2 + 1)]
+            for m in range(audio.MELS):
+                a, b, c = edges[m : m + 3]
+                total = 0.0
+                for k, e in enumerate(power):
+                    hz = k * audio.RATE_OUT / audio.FFT
+                    total += e * max(0.0, min((hz - a) / (b - a), (c - hz) / (c - b)))
+                assert abs(mel[f, m] - np.log(total + 1e-6)) < 2e-3
+
+
 def test_query_round_trip(spark):
     rows = op2_audio_features(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

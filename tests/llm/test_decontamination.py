@@ -1,3 +1,5 @@
+import random
+
 from lumenqa.llm import decontamination
 
 ITEM = "If Anna buys 12 apples and gives 5 apples to Ben after 3 hours, how many apples does Anna have left over?"
@@ -56,3 +58,49 @@ def test_short_items_inside_sentences(spark):
     out, left = run(spark, docs, items)
     assert out == [(1, 1, "verbatim"), (2, 1, "verbatim"), (4, 2, "verbatim"), (5, 3, "verbatim"), (7, 4, "verbatim"), (8, 1, "reparameterised"), (9, 1, "reparameterised"), (11, 5, "reparameterised"), (13, 3, "verbatim")]
     assert left == ["10", "12", "3", "6"]
+
+
+def typed(text):
+    return ["N" if w[0].isdigit() else w for w in text.split()], text.split()
+
+
+def aligned_copies(doc, item, size=8, coverage=0.25):
+    """Alignments at which windows of equal typed words cover enough of the item: whether each has consistent numbers."""
+    (dt, dw), (it, iw) = typed(doc), typed(item)
+    found = []
+    for off in range(-len(iw), len(dw)):
+        hits = [p for p in range(len(it) - size + 1) if off + p >= 0 and dt[off + p : off + p + size] == it[p : p + size]]
+        if hits and len(hits) >= coverage * (len(it) - size + 1):
+            pairs = {(iw[p + i], dw[off + p + i]) for p in hits for i in range(size) if it[p + i] == "N"}
+            found.append(len(pairs) == len({a for a, _ in pairs}))
+    return found
+
+
+def test_random_templates_equal_brute_force(spark):
+    """Every document with a consistent alignment is told, and none whose alignments nowhere cover enough."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    items, shapes = [], []
+    for i in range(6):
+        shape = [rng.choice(words) if rng.random() < 0.75 else rng.choice("xyz") for _ in range(rng.randint(12, 40))]
+        shapes.append(shape)
+        items.append((i, " ".join({"x": "1", "y": "2", "z": "3"}.get(w, w) for w in shape)))
+
+    def copy(shape, bad):
+        values = {c: str(rng.randint(10, 99)) for c in "xyz"}
+        return [(str(rng.randint(100, 999)) if bad else values[w]) if w in "xyz" else w for w in shape]
+
+    docs = []
+    for d in range(150):
+        text = []
+        for _ in range(rng.randint(0, 3)):
+            text += [rng.choice(words) for _ in range(rng.randint(0, 12))]
+            part = copy(rng.choice(shapes), rng.random() < 0.4)
+            text += part[: rng.choice([6, 10, len(part), len(part)])]
+        docs.append((d, " ".join([*text, "end"])))
+    got = {(d, i) for d, i, _ in run(spark, docs, items)[0]}
+    alignments = {(d, i): aligned_copies(t, x) for d, t in docs for i, x in items}
+    sure, possible = {k for k, v in alignments.items() if any(v)}, {k for k, v in alignments.items() if v}
+    assert len(sure) > 40 and sure <= got <= possible
+    alone = {k for k, v in alignments.items() if len(v) == 1}
+    assert alone & got == alone & sure
