@@ -13,9 +13,10 @@ is seen twice in every row of the sketch, and groups them exactly by hash, keepi
 joins these starts to the documents that have such windows, and cuts the words. No repeated window is lost: an
 underestimate is impossible, and an overestimate only sends a window that grouping then finds to be single.
 
-The merged bits are the only thing broadcast: ROWS * cells / 8 bytes, with cells four times the anchors
-expected, at least 2^20 and at most ``max_cells`` (2^29: 128 MB). Beyond that the sketch fills and passes more
-windows to the exact grouping; results stay the same.
+Cells are four times the anchors expected, at least 2^20, so they grow with the input. Up to ``max_cells`` (2^29) the
+merged bits are broadcast, ROWS * cells / 8 bytes: 128 MB at most. A larger sketch is a table dealt by cell number:
+tasks' counts of a cell are added up on the way, anchors meet the cells seen twice in a join, and the documents with
+such anchors get the list of theirs; passes 2 and 3 then ask that list. Both give the same rows.
 
 Copies of whole texts are set aside first: all their windows start earlier in the copy of least doc_id, so they
 are cut without being looked at again. Only texts that occur twice or have repeated windows are ever shuffled.
@@ -120,9 +121,12 @@ def merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(total > 1).tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def repeated_cells(n_bytes: int, over, size: int, max_cells: int) -> np.ndarray:
+def cells_for(n_bytes: int) -> int:
+    return 1 << max(20, int(4 * n_bytes / 40).bit_length())
+
+
+def repeated_cells(cells: int, over, size: int) -> np.ndarray:
     """The merged sketch as packed bits, ROWS x cells; ``over`` applies an Arrow function to the texts."""
-    cells = 1 << max(20, min(max_cells.bit_length() - 1, int(4 * n_bytes / 40).bit_length()))
     sketch = over(partition_sketch(size, cells), "block long, once binary, more binary")
     merged = sketch.groupBy("block").applyInArrow(merge_blocks, "block long, bits binary")
     bits = np.zeros((ROWS, cells // BLOCK, BLOCK // 8), np.uint8)
@@ -132,9 +136,44 @@ def repeated_cells(n_bytes: int, over, size: int, max_cells: int) -> np.ndarray:
     return bits.reshape(ROWS, -1)
 
 
-def estimated_repeated(found: W.Words, size: int, bits: np.ndarray) -> np.ndarray:
-    """Places of the windows whose anchor the sketch says is repeated."""
+def anchor_rows(size: int):
+    """Arrow function: each place that is an anchor in its text, as (anchor, d, k)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                found = W.split(data, offsets)
+                _, where, grams = anchored(found, size)
+                at = np.unique(where)
+                doc = found.doc_of()[at] if len(at) else at
+                d, k = keys_of(part, data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(d[doc]), pa.array(k[doc])], names=["anchor", "d", "k"])
+
+    return run
+
+
+def dealt_sketch(anchors: DataFrame, cells: int) -> DataFrame:
+    """(__d, __k, __anchors): of each document the anchors whose cells are seen twice or more in every row of the sketch."""
+    left = anchors
+    for row in range(ROWS):
+        cell = F.pmod(F.xxhash64("anchor", F.lit(row)), F.lit(cells)).alias("cell")
+        again = anchors.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+        left = left.select("anchor", "d", "k", cell).join(again, "cell", "left_semi").drop("cell")
+    return left.groupBy(F.col("d").alias("__d"), F.col("k").alias("__k")).agg(F.collect_set("anchor").alias("__anchors"))  # no longer than the text
+
+
+def estimated_repeated(found: W.Words, size: int, part: pa.RecordBatch, bits: np.ndarray | None) -> np.ndarray:
+    """Places of the windows whose anchor the sketch says is repeated: by its bits, or by the lists that rows bring along."""
     places, where, grams = anchored(found, size)
+    if not len(places):
+        return places
+    if bits is None:
+        lists = part.column("__anchors")
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+        own = np.asarray(pa.compute.list_flatten(lists)).astype(np.int64).view(U)
+        told = W.mix(own ^ W.mix(np.repeat(np.arange(len(sizes)), sizes).astype(U)))
+        return places[np.isin(W.mix(grams[where] ^ W.mix(found.doc_of()[places].astype(U))), told)]
     hit = np.ones(len(where), bool)
     for row in range(ROWS):
         cell = cells_of(grams[where], row, bits.shape[1] * 8)
@@ -144,12 +183,12 @@ def estimated_repeated(found: W.Words, size: int, bits: np.ndarray) -> np.ndarra
 
 def candidate_windows(size: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
+        bits = sketch and sketch.value
         for batch in batches:
             for part in text_slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 found = W.split(data, offsets)
-                at = estimated_repeated(found, size, bits)
+                at = estimated_repeated(found, size, part, bits)
                 if not len(at):
                     continue
                 doc = found.doc_of()[at]
@@ -180,7 +219,7 @@ def screened(size: int, sketch, columns: list[str], todo: bool):
                 data, offsets = text_bytes(part.column("text"))
                 found = W.split(data, offsets)
                 some = np.zeros(len(part), bool)
-                some[found.doc_of()[estimated_repeated(found, size, bits)]] = True
+                some[found.doc_of()[estimated_repeated(found, size, part, bits)]] = True
                 if todo:
                     d, k = keys_of(part, data, offsets)
                     part = pa.RecordBatch.from_arrays([*part.columns, pa.array(d), pa.array(k)], names=[*part.schema.names, "__d", "__k"])
@@ -189,6 +228,18 @@ def screened(size: int, sketch, columns: list[str], todo: bool):
     return run
 
 
+def with_keys(columns: list[str]):
+    """Arrow function: rows with their keys __d and __k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                d, k = keys_of(part, *text_bytes(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d), pa.array(k)], names=[*part.schema.names, "__d", "__k"]).select(columns)
+
+    return run
+
+
 def cut_words(size: int, sketch, columns: list[str], rule: str):
     """Cut documents by rule: ``windows`` cuts those estimated repeated that are nowhere the earliest, ``copy`` every
     window, ``none`` nothing."""
@@ -204,7 +255,7 @@ def cut_words(size: int, sketch, columns: list[str], rule: str):
                     keep = np.repeat(n < size, n)
                 if rule == "windows":
                     again = np.zeros(len(keep), bool)
-                    again[estimated_repeated(found, size, sketch.value)] = True
+                    again[estimated_repeated(found, size, part, sketch and sketch.value)] = True
                     for d in range(len(part)):
                         if (first := part.column("__firsts")[d].as_py()) is not None:
                             again[found.first[d] + np.asarray(first, np.int64)] = False
@@ -238,7 +289,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, size: int = 20, max_cells:
     """
     spark = docs.sparkSession
     made = ["n_words", "n_removed", "kept_text", "kept_sha256"]
-    docs = docs.drop(*made, "__d", "__k", "__k2", "__firsts").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(*made, "__d", "__k", "__k2", "__firsts", "__anchors").withColumn("text", F.col("text").cast("string"))
     columns, identity = docs.columns, ["__k", "__k2"]
 
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(only_keys, "d long, k long, k2 long")
@@ -257,17 +308,31 @@ def remove_repeats(docs: DataFrame, work: Workspace, size: int = 20, max_cells:
         return lone.unionByName(earliest.select(names).mapInArrow(step, ddl))
 
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch = spark.sparkContext.broadcast(repeated_cells(n_bytes, over, size, max_cells))
+    cells = cells_for(n_bytes)
+    keyed, windows = extended(docs, __d="long", __k="long"), "h1 long, h2 long, d long, k long, place int"
+    if cells <= max_cells:
+        sketch = spark.sparkContext.broadcast(repeated_cells(cells, over, size))
+        candidates = over(candidate_windows(size, sketch), windows)
+        todo = over(screened(size, sketch, [*columns, "__d", "__k"], True), keyed, columns)
+    else:
+        sketch = None
+        marks = work.table(dealt_sketch(work.table(over(anchor_rows(size), "anchor long, d long, k long"), "anchors"), cells), "marks")
+        work.forget("anchors")
+        named = over(with_keys([*columns, "__d", "__k"]), keyed, columns)
+        todo = work.table(named.join(marks, ["__d", "__k"]).select(*columns, "__d", "__k", "__anchors"), "todo")
+        candidates = todo.select(*slim, "__anchors").mapInArrow(candidate_windows(size, None), windows)
     firsts = (
-        over(candidate_windows(size, sketch), "h1 long, h2 long, d long, k long, place int")
-        .groupBy("h1", "h2")
+        candidates.groupBy("h1", "h2")
         .agg(F.min(F.struct("d", "k", "place")).alias("m"))
         .groupBy(F.col("m.d").alias("__d"), F.col("m.k").alias("__k"))
         .agg(F.collect_list("m.place").alias("__firsts"))
     )
     out = extended(docs, n_words="long", n_removed="long", kept_text="string", kept_sha256="string")
     cutter = lambda rule: cut_words(size, sketch, [*columns, *made], rule)
-    todo = over(screened(size, sketch, [*columns, "__d", "__k"], True), extended(docs, __d="long", __k="long"), columns)
-    todo = todo.join(firsts, ["__d", "__k"], "left").select(*columns, "__firsts").mapInArrow(cutter("windows"), out)
-    idle = over(then(screened(size, sketch, columns, False), cutter("none")), out, columns)
-    return idle.unionByName(todo).unionByName(copies.mapInArrow(cutter("copy"), out))
+    lists = [] if sketch else ["__anchors"]
+    cut = todo.join(firsts, ["__d", "__k"], "left").select(*columns, *lists, "__firsts").mapInArrow(cutter("windows"), out)
+    if sketch:
+        idle = over(then(screened(size, sketch, columns, False), cutter("none")), out, columns)
+    else:
+        idle = named.join(marks, ["__d", "__k"], "left_anti").select(columns).mapInArrow(cutter("none"), out)
+    return idle.unionByName(cut).unionByName(copies.mapInArrow(cutter("copy"), out))

@@ -28,9 +28,9 @@ def brute(rows, size):
     return sorted((str(d), *first[(d is None, d, t or "")]) for d, t in rows)
 
 
-def run(spark, rows, size):
+def run(spark, rows, size, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = substring_dedup.remove_repeats(df, Workspace(spark), size).collect()
+    out = substring_dedup.remove_repeats(df, Workspace(spark), size, **options).collect()
     return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out)
 
 
@@ -47,6 +47,7 @@ def test_equals_brute_force(spark, seed, size):
         rows.append((d, rng.choice([" ", "\n", "\t "]).join(w)))
     rows += [(100, rows[3][1]), (101, rows[3][1]), (102, None), (103, ""), (104, "é\xa0ü " * 30), (105, "a " * 60)]
     assert run(spark, rows, size) == brute(rows, size)
+    assert run(spark, rows, size, max_cells=0) == brute(rows, size)  # the sketch dealt by cells
 
 
 def test_edges(spark):
