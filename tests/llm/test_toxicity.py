@@ -54,7 +54,7 @@ def by_hand(model, text):
     margins = []
     for i in range(max(1, len(words) - toxicity.WINDOW + 1)) if words else []:
         w = b" " + b" ".join(words[i : i + toxicity.WINDOW]) + b" "
-        margins.append(len(scorer.plain.compress(toxicity.CARRIER + w)) - len(scorer.bad.compress(toxicity.CARRIER + w)))
+        margins.append(len(scorer.plain.compressor.compress(toxicity.CARRIER + w)) - len(scorer.bad.compressor.compress(toxicity.CARRIER + w)))
     return scorer.score(scorer.features(np.array(margins)))
 
 
