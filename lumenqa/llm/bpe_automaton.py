@@ -12,7 +12,8 @@ A prefix of a word has at most one accepted tokenisation, so a word is encoded l
 longest label first; a place without a way on is left for good, so the walk is linear in the word. Transitions
 found are kept in a table, words in a bounded cache. Decoding emits the labels of the arcs walked.
 
-Null texts are empty; texts are encoded whole. Rows, other columns and their order are untouched; columns named
+Null texts are empty; texts are encoded whole, and a very long one is a slice of its own, whose words, ids and labels
+are lists of its words' entries at one time. Rows, other columns and their order are untouched; columns named
 like the new ones are replaced. An empty table gives no rows.
 """
 

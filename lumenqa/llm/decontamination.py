@@ -175,6 +175,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, coverage, kind): one row for each document and benchmark item it holds, no row for clean ones.
 
     Rows with the same doc_id and text count once. Null and empty texts hold nothing; null items ask nothing.
+    Items of equal texts, or texts of equal templates, are each told; rows of one item_id are readings of one item, whose
+    windows count by place. A document of any length is read whole, and one window at many places counts once a place.
     A null doc_id is kept as null. Empty tables on either side give no rows. Other columns are ignored.
     """
     return leaks(docs, benchmark, **options).select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), "item_id", "coverage", "kind")

@@ -43,3 +43,14 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
     work.drop()
+
+
+def test_empty_tables_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "one text of a few words here", "en", "s", 28)] * 3 + [(2, None, None, None, None)] * 2 + [(None, "another text altogether", "de", "s", 22)]
+    for name, some in (("empty", []), ("some", rows)):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, COLUMNS).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, sf).collect())
+        assert got == ([] if name == "empty" else ["1", "2", "2", "None"])

@@ -104,3 +104,12 @@ def test_random_templates_equal_brute_force(spark):
     assert len(sure) > 40 and sure <= got <= possible
     alone = {k for k, v in alignments.items() if len(v) == 1}
     assert alone & got == alone & sure
+
+
+def test_null_ids_equal_items_and_a_window_of_many_documents(spark):
+    docs = [(None, FILLER + ITEM), *[(i, FILLER + CHANGED + " " + FILLER * (i % 3)) for i in range(300)], (400, (CHANGED + " ") * 200)]
+    out, left = run(spark, [d for d in docs if d[0] is not None], [(1, ITEM), (2, ITEM)])
+    assert out == sorted((d, i, "reparameterised") for d in [*range(300), 400] for i in (1, 2)) and left == []
+    d, b = spark.createDataFrame(docs[:1], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.kind) for r in decontamination.contaminated(d, b).collect()] == [(None, 1, "verbatim")]
+    assert decontamination.without_leaks(d, b).count() == 0

@@ -112,3 +112,15 @@ def test_sets_that_share_a_node_are_told_apart(spark):
     rows = [(1, 7, 1), (2, 7, 2), (3, 7, 2), (4, 9, 5), (5, None, None)]
     got = {r.d: r.node for r in ngram_join.told_apart(spark.createDataFrame(rows, "d long, node long, node2 long")).collect()}
     assert got[1] == 7 and got[4] == 9 and got[5] is None and got[2] == got[3] not in (7, 9)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(100_000)}" for _ in range(150_000)]
+    near = list(text)
+    near[77_777] = "other"
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(text[:60_000])), (4, "x" * 2_000_000)]
+    work = Workspace(spark)
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), work).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+    work.drop()

@@ -15,7 +15,7 @@ def test_query_equals_duckdb(spark):
 def judge(spark, captures, entries):
     c = spark.createDataFrame([(*r, "n") for r in captures], "page_id long, url string, fetch_date date, verdict string")
     e = spark.createDataFrame(entries, "entry_id int, pattern string, action string, entry_date date")
-    return sorted((str(r.page_id), r.verdict, r.pattern) for r in url_filter.filter_urls(c, e).collect())
+    return sorted(((str(r.page_id), r.verdict, r.pattern) for r in url_filter.filter_urls(c, e).collect()), key=str)
 
 
 def test_entries_hold_from_their_date_to_the_next(spark):
@@ -40,3 +40,8 @@ def test_every_path_segment_is_asked_for(spark):
     entries = [(1, "a.com/b", "block", D(2024, 1, 1)), (2, "a.com/b/c/d", "allow", D(2024, 1, 1)), (3, deep, "block", D(2024, 1, 1))]
     captures = [(1, "http://a.com/b/c", D(2024, 1, 2)), (2, "http://a.com/b/c/d/x?q", D(2024, 1, 2)), (3, f"http://{deep}/i", D(2024, 1, 2)), (4, "http://a.com", D(2024, 1, 2))]
     assert judge(spark, captures, entries) == [("1", "block", "a.com/b"), ("2", "allow", "a.com/b/c/d"), ("3", "block", deep), ("4", "none", None)]
+
+
+def test_null_page_ids_are_rows_like_any_other(spark):
+    captures = [(None, "http://a.b/c", D(2024, 1, 2)), (None, "http://a.b/c", D(2024, 1, 2)), (None, None, None)]
+    assert judge(spark, captures, [(1, "a.b", "block", D(2024, 1, 1))]) == [("None", "block", "a.b"), ("None", "block", "a.b"), ("None", "none", None)]
