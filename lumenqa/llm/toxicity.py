@@ -48,6 +48,8 @@ FEATURES = 3 + 2 * len(QUANTILES)
 TOXIC_SHARE = 0.25
 #: Bytes of text whose equal windows are compressed once.
 SLICE = 2_000_000
+#: Windows compressed in one call.
+CALL = 10_000
 
 
 @dataclass
@@ -111,10 +113,12 @@ class Lengths:
         self.compressor = zstandard.ZstdCompressor(dict_data=known, compression_params=rule)
 
     def of(self, windows: list[bytes]) -> np.ndarray:
-        if not windows:
-            return np.zeros(0, np.int64)
-        found = self.compressor.multi_compress_to_buffer([CARRIER + w for w in windows], threads=1)  # one frame each
-        return np.fromiter((len(found[i]) for i in range(len(windows))), np.int64, len(windows))
+        out = np.zeros(len(windows), np.int64)
+        for at in range(0, len(windows), CALL):
+            part = windows[at : at + CALL]
+            found = self.compressor.multi_compress_to_buffer([CARRIER + w for w in part], threads=1)  # one frame each
+            out[at : at + CALL] = np.fromiter((len(found[i]) for i in range(len(part))), np.int64, len(part))
+        return out
 
 
 def distilled(parts: list[list[list[bytes]]], ordinary: bytes) -> bytes:
