@@ -16,11 +16,16 @@ BROADCAST_QUERIES = 64 << 20  # bytes of query vectors that may go to every task
 SEARCH_CELLS = 1 << 22  # scores a task holds at once
 
 
+def lowered(x: Column) -> Column:
+    """Lower case as the statements have it: a dotted capital I is one letter, where Java makes two characters of it."""
+    return F.lower(F.replace(F.coalesce(x, F.lit("")), F.lit("\u0130"), F.lit("i")))
+
+
 def tokens(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(TOKEN), 0)
+    return F.regexp_extract_all(lowered(x), F.lit(TOKEN), 0)
 
 
-def top_k(scored: DataFrame, k: int, by: list[str], *ties: str) -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: list[str], *ties: str | Column) -> DataFrame:
     """The k best rows of each group by score, then by the ties ascending, with their rank from 1."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), *ties)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -34,7 +39,7 @@ def matches(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("qid", F.array_distinct(tokens(F.col("query"))).alias("ts"))
     terms = asked.select("qid", F.size("ts").alias("terms"), F.explode("ts").alias("term"))
-    stats = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))).alias("avg_size"))
+    stats = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(lowered(F.col("text")), F.lit(TOKEN))).alias("avg_size"))
     worded = passages.select("pid", tokens(F.col("text")).alias("w")).select("pid", F.size("w").alias("size"), F.explode("w").alias("term"))
     wanted = worded.join(terms.select("term").distinct(), "term", "left_semi")
     tf = wanted.groupBy("term", "pid", "size").agg(F.count(F.lit(1)).alias("tf"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenqa.operators import retrieval as R
+from lumenqa.operators import term_search as S
 
 
 def passages(t) -> DataFrame:
@@ -62,43 +63,26 @@ DEPTH = 20
 
 
 def contained(t) -> DataFrame:
-    """qrels: the passages that contain a query's whole text.
-
-    A passage that contains it has all its tokens but perhaps the outer two, so the rarest inner one finds every candidate
-    by an equi-join.
-    """
-    inner = queries(t).withColumn("w", R.tokens(F.col("query")))
-    inner = inner.select("qid", "query", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 2)))).alias("term"))
-    terms = passages(t).select("pid", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    terms = terms.join(inner.select("term").distinct(), "term", "left_semi")
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = inner.join(df, "term").groupBy("qid", "query").agg(F.min(F.struct("df", "term")).alias("m")).select("qid", "query", F.col("m.term").alias("term"))
-    found = rarest.join(terms, "term").join(passages(t).select("pid", "text"), "pid")
-    return found.where(F.col("text").contains(F.col("query"))).select("qid", F.col("pid").alias("docid"))
+    """qrels: the passages that contain a query's whole text."""
+    return S.containing(passages(t), queries(t))
 
 
 def runs(t) -> DataFrame:
     """Five runs of the benchmark's items over all passages: run, qid, docid, rank, score, DEPTH deep.
 
     run0 is BM25; run1 BM25 with k1 1.2 and b 0.75; run2 the share of the query's terms that a passage has; run3 reranks
-    run0 by the share of the passage's tokens that are query terms; run4 fuses run0 and run2 by reciprocal ranks.
+    run0 by the share of the passage's tokens that are query terms; run4 fuses run0 and run2 by reciprocal ranks. Each row
+    of a list goes to the runs made of it, so one pass over the lists gives all five.
     """
-    scores = (
-        R.matches(passages(t), queries(t))
-        .groupBy("qid", "pid")
-        .agg(
-            F.round(F.sum(R.bm25_weight(0.9, 0.4)), 9).alias("s0"), F.round(F.sum(R.bm25_weight(1.2, 0.75)), 9).alias("s1"),
-            F.round(F.count(F.lit(1)) / F.max("terms"), 9).alias("s2"), F.round(F.sum("tf") / F.max("size"), 9).alias("s3"),
-        )
-    )
-    best = [R.top_k(scores.withColumnRenamed(s, "score"), DEPTH, ["qid"], "pid") for s in ("s0", "s1", "s2")]
-    dense = R.top_k(best[0].select("qid", "pid", F.col("s3").alias("score")), DEPTH, ["qid"], "pid")
-    fused = R.rrf([best[0], best[2]], DEPTH)
-    each = [x.select(F.lit(f"run{i}").alias("run"), "qid", F.col("pid").alias("docid"), "rank", "score") for i, x in enumerate([*best, dense, fused])]
-    whole = each[0]
-    for x in each[1:]:
-        whole = whole.unionByName(x)
-    return whole
+    lists = S.best_lists(passages(t), queries(t), DEPTH)
+    row = lambda i, score, seen: F.struct(F.lit(f"run{i}").alias("run"), score.alias("part"), seen.alias("seen"))
+    unseen = F.lit(None).cast("struct<list:int,rank:int>")
+    own = lambda i: row(i, F.col("score"), unseen)
+    fused = row(4, 1.0 / (60 + F.col("rank")), F.struct("list", "rank"))
+    to = F.when(F.col("list") == 0, F.array(own(0), row(3, F.col("s3"), unseen), fused)).when(F.col("list") == 1, F.array(own(1))).otherwise(F.array(own(2), fused))
+    each = lists.select("qid", "pid", F.inline(to)).groupBy("run", "qid", "pid").agg(F.round(F.sum("part"), 12).alias("score"), F.min("seen").alias("seen"))
+    ranked = R.top_k(each, DEPTH, ["run", "qid"], "seen", F.asc_nulls_last("pid"))
+    return ranked.select("run", "qid", F.col("pid").alias("docid"), "rank", "score")
 
 
 BM25_TERMS = """
