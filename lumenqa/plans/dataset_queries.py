@@ -157,11 +157,15 @@ s AS (SELECT *, coalesce(f1, 0) >= 45 AND coalesce(faith, 0) >= 2 AND coalesce(e
 
 
 def answers(t):
+    """Means of each user and event type. They are compared with thresholds that they often equal, so values are added in
+    the order of event_id, as one thread reads the table; an aggregate adds them in the order in which tasks end."""
     e = F.col("event_id")
     skip = lambda n, v: F.avg(F.when(e % n != 0, v))
-    m = t("events").groupBy(F.col("user_id").alias("qid"), F.col("event_type").alias("run")).agg(
-        skip(7, F.col("value")).alias("f1"), skip(5, (e % 6).cast("double")).alias("faith"), skip(4, F.col("value") / 100).alias("ent"), skip(3, (e % 10).cast("double") / 20).alias("contra")
-    )
+    means = {"f1": skip(7, F.col("value")), "faith": skip(5, (e % 6).cast("double")), "ent": skip(4, F.col("value") / 100), "contra": skip(3, (e % 10).cast("double") / 20)}
+    whole = Window.partitionBy("qid", "run").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = t("events").select(F.col("user_id").alias("qid"), F.col("event_type").alias("run"), "event_id", "value")
+    rows = rows.select("qid", "run", *(m.over(whole).alias(c) for c, m in means.items()))
+    m = rows.groupBy("qid", "run").agg(*(F.first(c).alias(c) for c in means))
     filled = lambda c, d: F.coalesce(F.col(c), F.lit(float(d)))
     return m.withColumn("success", (filled("f1", 0) >= 45) & (filled("faith", 0) >= 2) & (filled("ent", 0) >= 0.35) & (filled("contra", 1) <= 0.3))
 

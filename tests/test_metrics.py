@@ -228,3 +228,28 @@ def test_sentences_equal_sql_on_digits_and_controls(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, QUERIES["n8_sentences"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL["n8_sentences"]).fetchall())
+
+
+@pytest.fixture(scope="module")
+def spread_events(spark, tmp_path_factory):
+    """Events whose means lie on the thresholds, dealt over several files without order."""
+    import random
+
+    rng, folder = random.Random(11), str(tmp_path_factory.mktemp("events"))
+    rows = [(i, rng.randrange(300), rng.choice(["view", "click", "error", "signup", "buy"]), rng.choice([1.1, 44.9, 45.1, 88.9])) for i in range(40000)]
+    schema = "event_id long, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).repartition(16).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["f13_failure_kinds"])
+def test_thresholds_do_not_hang_on_the_order_of_tasks(spark, spread_events, name):
+    import duckdb
+
+    from lumenqa.plans.registry import ORACLE_SQL, QUERIES
+    from tests.compare import assert_same
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE TABLE events AS SELECT * FROM '{spread_events}/events.parquet/*.parquet' ORDER BY event_id")
+    assert_same(QUERIES[name](spark, spread_events), con, ORACLE_SQL[name])
