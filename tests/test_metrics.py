@@ -242,7 +242,7 @@ def spread_events(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["f13_failure_kinds", "f16_threshold_success"])
+@pytest.mark.parametrize("name", ["f13_failure_kinds", "f16_threshold_success", "a13_f10_answer_concordance"])
 def test_thresholds_do_not_hang_on_the_order_of_tasks(spark, spread_events, name):
     import duckdb
 
