@@ -27,7 +27,7 @@ def large(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["a12_hits_per_run", "w2_running_hits", "a25_hit_ratios", "a11_concordance", "f17_wide_by_run"])
+@pytest.mark.parametrize("name", ["a12_hits_per_run", "w2_running_hits", "a25_hit_ratios", "a11_concordance", "f17_wide_by_run", "f9_f11_agreement_filters"])
 def test_shuffles_less_than_a_row_for_each_pair(spark, large, name):
     before = written(spark)
     rows = QUERIES[name](spark, large).collect()
