@@ -253,3 +253,22 @@ def test_thresholds_do_not_hang_on_the_order_of_tasks(spark, spread_events, name
     con.execute("SET threads = 1")
     con.execute(f"CREATE TABLE events AS SELECT * FROM '{spread_events}/events.parquet/*.parquet' ORDER BY event_id")
     assert_same(QUERIES[name](spark, spread_events), con, ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", ["a13_f10_answer_concordance", "a14_run_group_summary", "f16_threshold_success"])
+def test_events_without_keys_count_as_in_sql(spark, tmp_path, name):
+    import random
+
+    import duckdb
+
+    from lumenqa.plans.registry import ORACLE_SQL, QUERIES
+    from tests.compare import assert_same
+
+    rng = random.Random(1)
+    some = lambda i, n, x: None if i % n == 0 else x
+    rows = [(some(i, 5, i - 2000), some(i, 17, rng.randrange(40)), some(i, 13, rng.choice("abcde")), some(i, 11, rng.choice([1.0, 50.5, 88.25, 44.75]))) for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE TABLE events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id NULLS FIRST, value")
+    assert_same(QUERIES[name](spark, str(tmp_path)), con, ORACLE_SQL[name])
