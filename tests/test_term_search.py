@@ -45,7 +45,7 @@ def repeated(spark, large, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["w2_running_hits", "a11_concordance", "a25_hit_ratios", "f17_wide_by_run"])
+@pytest.mark.parametrize("name", ["w2_running_hits", "a11_concordance", "a25_hit_ratios", "f17_wide_by_run", "f9_f11_agreement_filters"])
 def test_repeated_ids_shuffle_little(spark, repeated, name):
     before = written(spark)
     rows = QUERIES[name](spark, repeated).collect()
