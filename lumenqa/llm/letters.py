@@ -20,8 +20,8 @@ class Spelled:
     words: W.Words
 
 
-def spelled(data: np.ndarray, offsets: np.ndarray) -> Spelled:
-    raw = W.split(data, offsets, LETTER)
+def spelled(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Spelled:
+    raw = W.split(data, offsets, LETTER, hashed)
     low = lowered(data)
     lengths = raw.ends - raw.starts
     starts = np.concatenate([[0], np.cumsum(lengths + 1)]) + 1

@@ -19,6 +19,9 @@ The last third calibrates: thresholds are quantiles of the margins of ordinary w
 mean of the three largest, the mean of all, and the numbers and shares of windows at each threshold go through a
 logistic regression in which toxic documents weigh TOXIC_SHARE of all.
 
+A task compresses a window once and remembers its margin by two independent hashes of its bytes, at most REMEMBERED
+windows at a time; what it remembers changes no score.
+
 Repeated rows get equal scores. Rows with null or empty text, or text without letters, have no windows and get the
 score of no evidence.
 """
@@ -36,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenqa.llm import letters
+from lumenqa.llm import words as W
 from lumenqa.llm.workspace import bounded_batches, extended, text_bytes, text_slices
 
 WINDOW, PIECE = 2, 8
@@ -46,8 +50,10 @@ CARRIER = b"\x01\x02" * 8
 QUANTILES = (0.95, 0.99, 0.999, 0.9999)
 FEATURES = 3 + 2 * len(QUANTILES)
 TOXIC_SHARE = 0.25
-#: Bytes of text whose equal windows are compressed once.
+#: Bytes of text whose windows are looked up at once.
 SLICE = 2_000_000
+#: Windows whose margins a task remembers, 19 bytes each; beyond that it forgets those it did not meet again.
+REMEMBERED = 2_000_000
 #: Windows compressed in one call.
 CALL = 10_000
 
@@ -115,11 +121,26 @@ class Lengths:
     def of(self, windows: list[bytes]) -> np.ndarray:
         out = np.zeros(len(windows), np.int64)
         for at in range(0, len(windows), CALL):
-            part = windows[at : at + CALL]
-            found = self.compressor.multi_compress_to_buffer([CARRIER + w for w in part], threads=1)  # one frame each
-            out[at : at + CALL] = np.fromiter((len(found[i]) for i in range(len(part))), np.int64, len(part))
+            out[at : at + CALL] = self.carried([CARRIER + w for w in windows[at : at + CALL]])
         return out
 
+    def carried(self, windows: list[bytes] | zstandard.BufferWithSegments) -> np.ndarray:
+        """The lengths of windows that have the carrier in front already."""
+        found = self.compressor.multi_compress_to_buffer(windows, threads=1)  # one frame each
+        return np.fromiter(map(len, found), np.int64, len(found))
+
+
+def carried(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> zstandard.BufferWithSegments:
+    """Each window of places starts to ends with the carrier in front, packed; eight[i] holds the 8 bytes from place i on."""
+    head = np.frombuffer(CARRIER, "<u8")
+    blocks = ((ends - starts + 7) >> 3) + len(head)
+    begins = np.cumsum(blocks) - blocks
+    place = 8 * np.arange(int(blocks.sum())) + np.repeat(starts - 8 * (begins + len(head)), blocks)
+    data = eight[np.maximum(place, 0)]
+    data[begins[:, None] + np.arange(len(head))] = head
+    segments = np.column_stack([8 * begins, ends - starts + len(CARRIER)]).astype("<u8")
+    return zstandard.BufferWithSegments(data.tobytes(), segments.tobytes())
+
 
 def distilled(parts: list[list[list[bytes]]], ordinary: bytes) -> bytes:
     """The toxic dictionary from the pieces of each part."""
@@ -185,6 +206,8 @@ class Scorer:
         self.model = model
         size = max(len(model.ordinary), len(model.toxic))
         self.plain, self.bad = Lengths(model.ordinary, size), Lengths(model.toxic, size)
+        #: Two hashes of each window remembered, in order of the first, its margin, and whether it was met again.
+        self.first, self.second, self.known, self.met = (np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int16, bool))
 
     def margins(self, windows: list[bytes]) -> np.ndarray:
         return self.plain.of(windows) - self.bad.of(windows)
@@ -200,20 +223,52 @@ class Scorer:
         mean, deviation = self.model.scale
         return float(1 / (1 + np.exp(-np.clip((features - mean) / deviation @ self.model.weights[:-1] + self.model.weights[-1], -30, 30))))
 
+    def margins_in(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The margin of each window flat[start:end]; those that are not remembered are compressed."""
+        one, two = (W.byte_hashes(flat, starts, ends, key) for key in W.WORD_KEYS)
+        order = np.argsort(one)
+        one, two = one[order], two[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        one, two, each = one[fresh], two[fresh], order[fresh]
+        place = np.searchsorted(self.first, one)
+        place[place == len(self.first)] = 0
+        old = (self.first[place] == one) & (self.second[place] == two) if len(self.first) else np.zeros(len(one), bool)
+        margins = np.zeros(len(one), np.int64)
+        margins[old] = self.known[place[old]]
+        self.met[place[old]] = True
+        new = np.flatnonzero(~old)
+        eight = np.ndarray(len(flat) + 1, "<u8", np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            packed = carried(eight, starts[each[part]], ends[each[part]])
+            margins[part] = self.plain.carried(packed) - self.bad.carried(packed)
+        self.remember(one[new], two[new], margins[new])
+        return margins[number]
+
+    def remember(self, one: np.ndarray, two: np.ndarray, margins: np.ndarray) -> None:
+        """Keep the margins of windows by their hashes, given in order of the first; one of more than 16 bits is not kept."""
+        if len(self.first) + len(one) > REMEMBERED:
+            keep = self.met if self.met.sum() <= REMEMBERED // 2 else np.zeros(len(self.met), bool)
+            self.first, self.second, self.known = self.first[keep], self.second[keep], self.known[keep]
+            self.met = np.zeros(len(self.first), bool)
+        fits = np.flatnonzero(np.abs(margins) < 1 << 15)[: max(0, REMEMBERED - len(self.first))]
+        place = np.searchsorted(self.first, one[fits])
+        self.first, self.second = np.insert(self.first, place, one[fits]), np.insert(self.second, place, two[fits])
+        self.known, self.met = np.insert(self.known, place, margins[fits]), np.insert(self.met, place, False)
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The score of each text. Equal windows of a slice are compressed once."""
-        text = letters.spelled(data, offsets)
+        """The score of each text."""
+        text = letters.spelled(data, offsets, hashed=False)
         first, starts, ends = text.words.first, text.words.starts, text.words.ends
         words = np.diff(first)
         counts = np.where(words > 0, np.maximum(words - WINDOW + 1, 1), 0)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         at = np.repeat(first[:-1], counts) + np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts)
         last = np.minimum(at + WINDOW, np.repeat(first[1:], counts)) - 1
-        flat = text.flat.tobytes()
-        each = [flat[a:b] for a, b in zip((starts[at] - 1).tolist(), (ends[last] + 1).tolist(), strict=True)]  # with the spaces around
-        number: dict[bytes, int] = {}
-        back = np.array([number.setdefault(w, len(number)) for w in each], np.int64)
-        margins = self.margins(list(number))[back] if each else np.zeros(0, np.int64)
+        margins = self.margins_in(text.flat, starts[at] - 1, ends[last] + 1)  # with the spaces around
         return np.array([self.score(self.features(margins[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
 
 

@@ -94,8 +94,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def split(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | None = None) -> Words:
-    """Words of the texts data[offsets[d]:offsets[d + 1]]; word_byte marks the bytes of words (default: no separator)."""
+def split(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | None = None, hashed: bool = True) -> Words:
+    """Words of the texts data[offsets[d]:offsets[d + 1]]; word_byte marks the bytes of words (default: no separator).
+
+    Callers that need no hashes leave them out (``hashed``)."""
     inside = (~SPACE if word_byte is None else word_byte)[data]
     change = np.zeros(len(data) + 1, bool)
     change[1:-1] = inside[1:] != inside[:-1]
@@ -109,7 +111,7 @@ def split(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray | None =
     closes[cuts[inside[cuts - 1]] - 1] = True
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     first = np.searchsorted(starts, offsets)
-    return Words(starts, ends, first, byte_hashes(data, starts, ends), data)
+    return Words(starts, ends, first, byte_hashes(data, starts, ends) if hashed else np.zeros(0, U), data)
 
 
 def window_places(first: np.ndarray, size: int) -> np.ndarray:

@@ -76,3 +76,52 @@ def test_repeated_rows_and_a_clashing_column(spark):
     docs = spark.createDataFrame([(1, "bad vile words", "x"), (1, "bad vile words", "x"), (2, "fine", None)], "doc_id long, text string, tox_score string")
     rows = toxicity.scored(docs, model).collect()
     assert len(rows) == 3 and rows[0].tox_score == rows[1].tox_score and isinstance(rows[2].tox_score, float)
+
+
+class Counted:
+    """A compressor that notes how many frames it made."""
+
+    def __init__(self, compressor):
+        self.compressor, self.frames = compressor, 0
+
+    def compress(self, window):
+        return self.compressor.compress(window)
+
+    def multi_compress_to_buffer(self, windows, **options):
+        self.frames += len(windows)
+        return self.compressor.multi_compress_to_buffer(windows, **options)
+
+
+def slices_of_words(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ka", "to", "ri", "é"]) for _ in range(rng.choice([1, 1, 1, 2, 2, 20])))
+    return [[" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(15)] for _ in range(8)]
+
+
+def score_slices(scorer, slices):
+    out = []
+    for texts in slices:
+        raw = [t.encode() for t in texts]
+        out += scorer.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])).tolist()
+    return out
+
+
+def test_a_window_is_compressed_once_a_task():
+    slices = slices_of_words(3)
+    model = toxicity.train([t + " vilewordhere nastyone" for t in slices[0]], slices[1])
+    scorer = toxicity.Scorer(model)
+    scorer.plain.compressor, scorer.bad.compressor = plain, bad = Counted(scorer.plain.compressor), Counted(scorer.bad.compressor)
+    got = score_slices(scorer, slices)
+    windows = [w for texts in slices for words in toxicity.word_lists(texts) for w in toxicity.windows(words)]
+    assert plain.frames == bad.frames == len(set(windows)) < len(windows)
+    assert np.allclose(got, [by_hand(model, t) for texts in slices for t in texts], atol=1e-12)
+
+
+@pytest.mark.parametrize("remembered", [0, 1, 50, 400])
+def test_scores_do_not_depend_on_what_is_remembered(monkeypatch, remembered):
+    slices = slices_of_words(4)
+    model = toxicity.train([t + " vilewordhere nastyone" for t in slices[0]], slices[1])
+    expected = score_slices(toxicity.Scorer(model), slices)
+    monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+    scorer = toxicity.Scorer(model)
+    assert score_slices(scorer, slices) == expected and len(scorer.first) <= remembered
