@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -37,6 +37,8 @@ LANES, CHECKPOINT, BLOCK = 4096, 128, 1 << 20
 LOW = 1 << 31
 #: Input bytes, as the planner estimates them, for each range partition beyond spark.sql.shuffle.partitions.
 PART_BYTES, MOST_PARTS = 64 << 20, 100_000
+#: Bytes of text that are tokenised at once.
+SLICE = 500_000
 IDS = ["part", "place", "doc_id", "before", "n", "ids", "counts"]
 U = np.uint64
 
@@ -156,11 +158,90 @@ def told_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np
     return np.concatenate([first, odd]), back
 
 
+#: Longest word whose bytes and length fit two numbers of 64 bits; buckets of the word table, two words each; ids it holds.
+SHORT, BUCKETS, MOST_IDS = 15, 1 << 19, 1 << 23
+ROUNDS = 8
+#: Masks of the first 0 to 8 bytes of a number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+class WordTable:
+    """Ids by word in flat arrays, so all words of a slice are looked up at once. A word of up to SHORT bytes is its key:
+    its bytes and its length, told apart exactly. A new word pushes the older one of a full bucket out; when the
+    stretch of ids is full, the table starts afresh. Each distinct word of a slice that is longer, or one of more than
+    ROUNDS new ones in a bucket, goes through a cache.
+    """
+
+    def __init__(self, make: Callable[[bytes], bytes], kind: np.dtype, limit: int):
+        self.make, self.kind, self.others = make, kind, Cache(make, limit)
+        self.reset()
+
+    def reset(self) -> None:
+        self.buckets, self.held, self.used = BUCKETS, np.zeros(1 << 16, self.kind), 1  # place 0 is the caller's
+        self.low, self.high = np.zeros(2 * BUCKETS, U), np.zeros(2 * BUCKETS, U)
+        self.at, self.n = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.uint8)
+
+    def add(self, entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers) of the ids of further entries."""
+        n = np.array([len(e) // self.kind.itemsize for e in entries], np.int64)
+        upto = self.used + np.cumsum(n)
+        if len(n) and upto[-1] > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(int(upto[-1]), 2 * len(self.held)) - len(self.held), self.kind)])
+        if len(n):
+            self.held[self.used : upto[-1]] = np.frombuffer(b"".join(entries), self.kind)
+            self.used = int(upto[-1])
+        return upto - n, n
+
+    def find(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers) in ``held`` of the ids of each data[start:start + length], valid until the next call."""
+        if self.used > MOST_IDS:
+            self.reset()
+        eight = np.ndarray(len(data) + 16, "<u8", np.concatenate([data, np.zeros(23, np.uint8)]), strides=(1,))  # the 8 bytes from each place on
+        low, high = eight[starts] & FIRST_BYTES[np.minimum(lengths, 8)], lengths.astype(U) << U(56)
+        beyond = np.flatnonzero(lengths > 8)
+        high[beyond] |= eight[starts[beyond] + 8] & FIRST_BYTES[np.minimum(lengths[beyond] - 8, 7)]
+        mixed = (low ^ (high * U(0x9E3779B97F4A7C15))) * U(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> U(32))) * U(0xBF58476D1CE4E5B9)
+        place = ((mixed >> U(32)) & U(self.buckets - 1)).astype(np.int64)
+        low[lengths > SHORT] = high[lengths > SHORT] = 0  # no key of any word
+        entry = place.copy()
+        left = np.flatnonzero((self.low[entry] != low) | (self.high[entry] != high) | (high == 0))
+        entry[left] += self.buckets
+        at, n = self.at[entry], self.n[entry].astype(np.int64)
+        entry = entry[left]
+        left = left[(self.low[entry] != low[left]) | (self.high[entry] != high[left]) | (high[left] == 0)]
+        if not len(left):
+            return at, n
+        raw = data.tobytes()
+        rest, left = left[high[left] == 0], left[high[left] != 0]
+        for _ in range(ROUNDS):  # one word of each bucket in turn
+            if not len(left):
+                break
+            one = left[np.unique(place[left], return_index=True)[1]]
+            made = self.add([self.make(raw[a : a + k]) for a, k in zip(starts[one].tolist(), lengths[one].tolist(), strict=True)])
+            to = place[one]
+            for kept, new in ((self.low, low[one]), (self.high, high[one]), (self.at, made[0]), (self.n, made[1])):
+                kept[to + self.buckets] = kept[to]
+                kept[to] = new
+            to = place[left]
+            known = (self.low[to] == low[left]) & (self.high[to] == high[left])
+            at[left[known]], n[left[known]] = self.at[to[known]], self.n[to[known]]
+            left = left[~known]
+        rest = np.concatenate([rest, left])
+        if len(rest):
+            begin, end = starts[rest], starts[rest] + lengths[rest]
+            _, first, back = np.unique(W.byte_hashes(data, begin, end), return_index=True, return_inverse=True)
+            first, back = told_apart(data, begin, end, first, back)
+            made = self.add([self.others[raw[a:b]] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
+            at[rest], n[rest] = made[0][back], made[1][back]
+        return at, n
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library: its model is asked once for each pre-split word as long as the cache holds it.
 
-    Plain texts are split all at once: runs of letters, single digits, runs of others. Each distinct word of a slice is
-    looked up once, and the ids are gathered for all. Other texts go through the splitter one by one.
+    Plain texts are split all at once: runs of letters, single digits, runs of others. Their words are looked up in a
+    table of arrays, and the ids are gathered for all. Other texts go through the splitter one by one.
     """
 
     def __init__(self, path: str, limit: int = 250_000):
@@ -170,7 +251,7 @@ class LibraryEncoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.letters = byte_letters()
         self.cache = Cache(self.ids, limit)
-        self.raw_cache = Cache(lambda raw: self.ids(raw.decode()), limit)
+        self.table = WordTable(lambda raw: self.ids(raw.decode()), self.kind, limit)
 
     def ids(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
@@ -185,31 +266,34 @@ class LibraryEncoder:
             out.extend(map(get, words))
         return b"".join(out)
 
-    def encode_slice(self, column: pa.Array) -> list[bytes]:
-        """The ids of each text of a column."""
+    def encode_slice(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a column, each closed by ``end_id``, and where each text's ids begin and the last end."""
         data, offsets = text_bytes(column)
         odd = not_plain(data, offsets)
         low = lowered(data)
         kind = KIND[low]
+        if odd.any():
+            kind[np.repeat(odd, np.diff(offsets))] = 0  # no words here
         begins = np.ones(len(low), bool)
         begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         begins[offsets[:-1][offsets[:-1] < len(low)]] = True
         places = np.flatnonzero(begins)
-        after = np.append(places[1:], len(low))
+        lengths = np.diff(places, append=len(low))
         word = kind[places] != 0
-        starts, ends = places[word], after[word]
-        _, first, back = np.unique(W.byte_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        first, back = told_apart(low, starts, ends, first, back)
-        raw, get = low.tobytes(), self.raw_cache.__getitem__
-        entries = [get(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sizes = np.array([len(e) // self.kind.itemsize for e in entries], np.int64)
-        own = sizes[back]
-        done = np.cumsum(own)
-        flat = np.frombuffer(b"".join(entries), self.kind)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - (done - own), own) + np.arange(int(own.sum()))].tobytes()
-        cut = np.concatenate([[0], done])[np.searchsorted(starts, offsets)] * self.kind.itemsize
-        texts = column.to_pylist() if odd.any() else None
-        return [self.encode(texts[d] or "") if odd[d] else ids[cut[d] : cut[d + 1]] for d in range(len(odd))]
+        starts = places[word]
+        at, n = self.table.find(low, starts, lengths[word])
+        self.table.held[0] = end_id
+        upto = np.searchsorted(starts, offsets[1:])
+        at, n = np.insert(at, upto, 0), np.insert(n, upto, 1)
+        done = np.cumsum(n)
+        total = int(done[-1]) if len(done) else 0
+        ids = self.table.held[np.repeat(at - (done - n), n) + np.arange(total)]
+        cut = np.concatenate([[0], done[upto + np.arange(len(upto))]])
+        if odd.any():
+            texts = [np.frombuffer(self.encode(column[d].as_py()), self.kind) if odd[d] else ids[:0] for d in range(len(odd))]
+            ids = np.concatenate([x for d, t in enumerate(texts) for x in (t, ids[cut[d] : cut[d + 1]])])
+            cut[1:] += np.cumsum([len(t) for t in texts])
+        return ids, cut
 
 
 @cache
@@ -225,20 +309,21 @@ def tokenised(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, place, before, total = encoder(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
-        end = coder.kind.type(end_id).tobytes()
         for batch in batches:
-            for piece in text_slices(batch, "text", 1_500_000):
-                ids = [x + end for x in coder.encode_slice(piece.column("text"))]
-                n = np.array([len(x) // coder.kind.itemsize for x in ids], np.int64)
+            for piece in text_slices(batch, "text", SLICE):
+                ids, cut = coder.encode_slice(piece.column("text"), end_id)
+                n = np.diff(cut)
+                buffers = [None, pa.py_buffer(cut * coder.kind.itemsize), pa.py_buffer(ids)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(ids), part, np.int32)), pa.array(place + np.arange(len(ids), dtype=np.int64)), piece.column("doc_id"),
-                        pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()),
+                        pa.array(np.full(len(n), part, np.int32)), pa.array(place + np.arange(len(n), dtype=np.int64)), piece.column("doc_id"),
+                        pa.array(before + cut[:-1]), pa.array(n), pa.Array.from_buffers(pa.large_binary(), len(n), buffers).cast(pa.binary()),
+                        pa.nulls(len(n), pa.binary()),
                     ],
                     names=IDS,
                 )
-                place, before = place + len(ids), before + int(n.sum())
-                total = added(total, np.bincount(np.frombuffer(b"".join(ids), coder.kind)))
+                place, before = place + len(n), before + len(ids)
+                total = added(total, np.bincount(ids))
         if place:
             last = [[part], [place], [None], [before], [0], [None], [total.tobytes()]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]

@@ -1,6 +1,8 @@
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -100,3 +102,38 @@ def test_ranges_of_ids_order_of_files_and_wide_ids(spark, monkeypatch):
     row["ids_crc32"] = zlib.crc32(np.array([5, 70_000, 70_000, 4_000_000_000], "<u4").tobytes())
     assert T.decoded(row, wide, T.slot_table(wide)).tolist() == [5, 70_000, 70_000, 4_000_000_000]
     work.drop()
+
+
+def same_as_library(coder, texts, library):
+    ids, cut = coder.encode_slice(pa.array(texts, pa.string()), 1)
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+@pytest.mark.parametrize("buckets,most", [(2, 40), (4, 1 << 20), (1 << 10, 300), (1 << 16, 1 << 23)])
+def test_word_table_of_any_size_equals_the_library(monkeypatch, buckets, most):
+    monkeypatch.setattr(T, "BUCKETS", buckets)
+    monkeypatch.setattr(T, "MOST_IDS", most)
+    library, coder = Tokenizer.from_file(tokenizer_path()), T.LibraryEncoder(tokenizer_path(), limit=5)
+    cuts = ["a" * k for k in range(1, 40)] + ["abcdefgh" + "x" * k for k in range(12)] + ["abcdefghijklmn" + c for c in "opqr"]
+    zeros = ["!", "!\0", "!\0\0", "!!!!!!!!\0", "!!!!!!!!", "\0" * 8, "\0" * 15, "\0" * 16, "é" * 7, "é" * 7 + "o", "é" * 8]
+    rng = np.random.default_rng(buckets)
+    for _ in range(3):
+        texts = [" ".join(rng.choice(cuts + zeros, 60).tolist()) for _ in range(9)]
+        same_as_library(coder, [None, "", *texts, "it's <|endoftext|> odd 日本", *texts[:2], "", "12 3", None], library)
+        same_as_library(coder, ["", None, " "], library)
+        same_as_library(coder, ["it's"], library)
+        same_as_library(coder, [], library)
+        assert (coder.table.n <= T.SHORT).all() and len(coder.table.low) == 2 * buckets
+
+
+def test_known_words_take_no_step_of_python_each():
+    rng = np.random.default_rng(4)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (5000, 7))]
+    coder, texts, steps = T.LibraryEncoder(tokenizer_path()), pa.array([" ".join(words)], pa.string()), []
+    coder.encode_slice(texts, 1)
+    sys.setprofile(lambda frame, event, what: steps.append(event))
+    try:
+        coder.encode_slice(texts, 1)
+    finally:
+        sys.setprofile(None)
+    assert len(steps) < 1000
